@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.decontamination import op1_decontamination
+from recollect.llm.mixing import op9_mixing
+from recollect.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op6_sharding": op6_sharding,
+    "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
