@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.decontamination import op1_decontamination
 from recollect.llm.mixing import op9_mixing
+from recollect.llm.quality import op3_quality
 from recollect.llm.sharding import op6_sharding
 from recollect.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_quality": op3_quality,
     "op6_sharding": op6_sharding,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
