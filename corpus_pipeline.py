@@ -1,13 +1,64 @@
-"""The corpus pipeline (stages follow)."""
+"""From raw documents to shards of training data, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it
+kept, and its result is written and read again before the next one starts. All
+but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recollect.llm import decontamination, jaccard, mixing, quality, sharding
+from recollect.llm.common import stored, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).where("keep_document").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group the document of the least id stays; documents without words are no group."""
+    classes = jaccard.jaccard_classes(docs)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first_id"), F.col("node").alias("first_node")).agg(F.count("*").alias("rows"))
+    with_node = jaccard.shingle_sets(docs, "text", jaccard.SHINGLE, docs.columns)
+    kept = with_node.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node")))
+    repeated = (F.col("rows") > 1) & (F.col("n_shingles") > 0)
+    return kept.where(~repeated).select(*docs.columns).unionByName(kept.where(repeated).dropDuplicates(["doc_id", "node"]).select(*docs.columns))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with a window of any item go; a training corpus must not hold even one."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1)
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: documents leave, stay or are repeated."""
+    return mixing.mix(docs).where("repeats > 0").withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sharding: every row gets its shard and slot."""
+    return sharding.shard(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", deal_shards),
+]
+#: Trained weights and sketches decide which rows stay: SQL cannot say which. Tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
