@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.decontamination import op1_decontamination
 from recollect.llm.jaccard import op4_jaccard_join
+from recollect.llm.katz import op2_katz
 from recollect.llm.mixing import op9_mixing
 from recollect.llm.quality import op3_quality
 from recollect.llm.sharding import op6_sharding
@@ -15,6 +16,7 @@ from recollect.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_katz": op2_katz,
     "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_sharding": op6_sharding,
