@@ -10,6 +10,7 @@ from recollect.llm.decontamination import op1_decontamination
 from recollect.llm.jaccard import op4_jaccard_join
 from recollect.llm.katz import op2_katz
 from recollect.llm.mixing import op9_mixing
+from recollect.llm.pii import op8_pii
 from recollect.llm.quality import op3_quality
 from recollect.llm.sharding import op6_sharding
 from recollect.llm.toxicity import op10_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_sharding": op6_sharding,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
