@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.decontamination import op1_decontamination
+from recollect.llm.embedding import op5_near_embeddings
 from recollect.llm.jaccard import op4_jaccard_join
 from recollect.llm.katz import op2_katz
 from recollect.llm.mixing import op9_mixing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_katz": op2_katz,
     "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_near_embeddings": op5_near_embeddings,
     "op6_sharding": op6_sharding,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
