@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.decontamination import op1_decontamination
 from recollect.llm.embedding import op5_near_embeddings
+from recollect.llm.html import op7_html
 from recollect.llm.jaccard import op4_jaccard_join
 from recollect.llm.katz import op2_katz
 from recollect.llm.mixing import op9_mixing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_near_embeddings": op5_near_embeddings,
     "op6_sharding": op6_sharding,
+    "op7_html": op7_html,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
