@@ -45,7 +45,7 @@ from recollect.llm.samples import fold
 #: Greatest count that is discounted.
 DISCOUNTED = 5
 #: Bytes of text in a chunk.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: A context with more than one in HOT of all tokens is dealt by pair. At most HOT words can be that frequent.
 HOT = 1024
 #: Numbers of the text's begin and of words outside the training texts; words follow.
