@@ -30,6 +30,8 @@ from recollect.llm.common import annotate, stored, table
 
 MAX_EPOCHS = 3
 SEED = 29
+#: Most sources whose plan is broadcast: about 10 MB.
+BROADCAST_SOURCES = 100_000
 _BINS = 4096
 FIELDS = [("size", T.LongType())]
 
@@ -75,6 +77,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
         w = weights.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("mix_source"), F.col("weight").cast("double").alias("weight"))
         sources = sources.join(w, "mix_source", "left").fillna(0.0, ["weight"])
     sources = stored(sources, "mixing-sources")
+    # a table of one row a source goes to all tasks only while it is small; beyond that it is joined by source
+    near = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda x: x)
     height = level(sources, max_epochs)
     target = F.least(F.lit(float(height)) * F.col("weight"), (F.col("source_size") * max_epochs).cast("double"))
     sources = sources.withColumn("target", target).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -87,18 +91,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
     plan = sources.join(edge, "mix_source", "left").select("mix_source", "source_size", "target", "whole", F.coalesce(F.col("edge.mix_bin"), F.lit(_BINS)).alias("edge_bin"), F.coalesce(F.col("edge.left"), F.lit(0)).alias("edge_left"))
     plan = stored(plan, "mixing-plan")
 
-    inside = base.join(plan.select("mix_source", F.col("edge_bin").alias("mix_bin"), "edge_left"), ["mix_source", "mix_bin"])
+    inside = base.join(near(plan.select("mix_source", F.col("edge_bin").alias("mix_bin"), "edge_left")), ["mix_source", "mix_bin"])
     order = Window.partitionBy("mix_source").orderBy("mix_hash", id_col, "mix_uid")
     inside = inside.select("mix_source", "mix_uid", "size", "edge_left", F.sum("size").over(order).alias("upto"))
     fits = inside.where(F.col("upto") <= F.col("edge_left"))
     missing = plan.join(fits.groupBy("mix_source").agg(F.sum("size").alias("got")), "mix_source", "left").select("mix_source", "edge_bin", (F.col("edge_left") - F.coalesce("got", F.lit(0))).alias("gap"))
     fits = stored(fits.select("mix_source", "mix_uid"), "mixing-edge")
-    free = base.join(missing.where("gap > 0"), "mix_source").where(F.col("mix_bin") >= F.col("edge_bin")).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+    free = base.join(near(missing.where("gap > 0")), "mix_source").where(F.col("mix_bin") >= F.col("edge_bin")).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
     free = free.join(fits, ["mix_source", "mix_uid"], "left_anti")
     last = free.groupBy("mix_source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("mix_hash"), F.col("mix_uid"))).alias("best")).select("mix_source", F.col("best.mix_uid").alias("mix_uid"))
     once = fits.unionByName(last).select(F.col("mix_source"), "mix_uid", F.lit(1).alias("more"))
 
-    out = base.join(plan, "mix_source").join(once, ["mix_source", "mix_uid"], "left")
+    out = base.join(near(plan), "mix_source").join(once, ["mix_source", "mix_uid"], "left")
     extra = F.when(F.col("mix_bin") < F.col("edge_bin"), F.when(F.col("edge_bin") < _BINS, 1).otherwise(F.lit(0))).otherwise(F.coalesce("more", F.lit(0)))
     repeats = (F.col("whole") + extra).cast("long")
     return out.select(*keep, "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
