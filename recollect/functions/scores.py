@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def recency(ts: Column, newest: Column, alpha: float) -> Column:
     """Falls by a thousandth for each whole elapsed day, not calendar day."""
     days = F.greatest(F.floor((F.unix_micros(newest.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 86_400_000_000), F.lit(0))
-    return F.coalesce(F.greatest(F.lit(0.0), F.lit(alpha) - days * 0.001), F.lit(0.0))
+    return F.when(ts.isNull() | newest.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(alpha) - days * 0.001))
 
 
 def gap_bonus(minutes: Column) -> Column:

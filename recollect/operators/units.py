@@ -16,7 +16,9 @@ from recollect import config, schemas
 from recollect.config import Settings
 from recollect.functions import text as fn
 
-CHAT = Window.partitionBy("chat_name").orderBy("timestamp", "seq")
+
+def _chat():
+    return Window.partitionBy("chat_name").orderBy("timestamp", "seq")
 
 
 def _said() -> Column:
@@ -38,9 +40,9 @@ def _other(frame) -> Column:
 
 def qa_turns(messages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The owner's replies with the rows before them. Filters come after the windows: low-signal rows are context, too."""
-    frame = CHAT.rowsBetween(-s.context_rows, -1)
-    asked = F.coalesce(F.max(F.col("is_question") & ~F.col("is_me")).over(CHAT.rowsBetween(-min(4, s.context_rows), -1)), F.lit(False))
-    rows = messages.withColumns({"pos": F.row_number().over(CHAT) - 1, "context": _lines(frame), "other": _other(frame), "asked": asked})
+    frame = _chat().rowsBetween(-s.context_rows, -1)
+    asked = F.coalesce(F.max(F.col("is_question") & ~F.col("is_me")).over(_chat().rowsBetween(-min(4, s.context_rows), -1)), F.lit(False))
+    rows = messages.withColumns({"pos": F.row_number().over(_chat()) - 1, "context": _lines(frame), "other": _other(frame), "asked": asked})
     gap = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.col("other.timestamp").cast("timestamp"))) / 6e7
     keep = F.col("is_me") & ~F.col("is_low_signal") & (F.col("pos") > 0) & (F.col("gap").isNull() | (F.col("gap") <= s.reply_gap_minutes))
     keep = keep & F.col("other").isNotNull() if s.require_other else keep
@@ -52,7 +54,7 @@ def qa_turns(messages: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def own_messages(messages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The owner's messages with the rows around them, themselves included."""
-    rows = messages.withColumns({"pos": F.row_number().over(CHAT) - 1, "context": _lines(CHAT.rowsBetween(-s.own_window, s.own_window)), "other": _other(CHAT.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = messages.withColumns({"pos": F.row_number().over(_chat()) - 1, "context": _lines(_chat().rowsBetween(-s.own_window, s.own_window)), "other": _other(_chat().rowsBetween(Window.unboundedPreceding, -1))})
     rows = rows.where("is_me AND NOT is_low_signal")
     partner = F.coalesce(F.col("other.text"), F.lit(""))
     return _unit(rows.select("chat_name", "timestamp", "context", "signal_score", "self_fact", F.lit("my_message").alias("unit_type"), partner.alias("partner_text"), F.coalesce(F.col("other.sender"), F.lit("")).alias("partner_sender"), F.lit(None).alias("reply_gap_min"), F.col("text").alias("response"), F.col("text").alias("style_text"), fn.style_signature(F.col("text")).alias("style_signature"), fn.filled(config.MESSAGE_TEXT, partner, F.col("text"), F.col("context")).alias("embed_text"), F.concat(F.lit("msg::"), "chat_name", F.lit("::"), F.col("pos")).alias("source_id")))
@@ -60,9 +62,9 @@ def own_messages(messages: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def with_topics(messages: DataFrame, gap_minutes: int) -> DataFrame:
     """Adds topic (from 0 in each chat): a pause longer than the gap begins a new one."""
-    before = F.lag("timestamp").over(CHAT)
+    before = F.lag("timestamp").over(_chat())
     new = before.isNull() | (F.col("timestamp") - before > F.expr(f"INTERVAL '{gap_minutes}' MINUTE"))
-    return messages.withColumn("new_topic", new.cast("int")).withColumn("topic", (F.sum("new_topic").over(CHAT.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("new_topic")
+    return messages.withColumn("new_topic", new.cast("int")).withColumn("topic", (F.sum("new_topic").over(_chat().rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("new_topic")
 
 
 def topic_blocks(messages: DataFrame, s: Settings = Settings()) -> DataFrame:
