@@ -320,6 +320,8 @@ def render(page: str) -> str:
                     flow.put(line)
                 flow.border(True)
             else:
+                if name == "pre" and flow.run:
+                    flow.flush(True)
                 if name in BLOCK or name == "details-closed":
                     nested = name in ("ul", "ol") and len(lists) > 1
                     flow.border(name in SPACED and not nested)

@@ -102,7 +102,7 @@ class Tokens:
             high = self.ends[j - 1]
             run = np.zeros(high - low + 1, U64)
             np.cumsum(_BYTE[self.data[low:high]] * _power(_BASE, "up", high - low), out=run[1:])
-            out[i:j] = (run[self.ends[i:j] - low] - run[self.starts[i:j] - low]) * _power(_INVERSE, "down", high - low)[self.starts[i:j] - low]
+            out[i:j] = (run[self.ends[i:j] - low] - run[self.starts[i:j] - low]) * _power(_INVERSE, "down", high - low + 1)[self.starts[i:j] - low]
             i = j
         return out
 
