@@ -65,25 +65,42 @@ def _graphs(nodes: DataFrame, shards: int, width: int) -> DataFrame:
                 node, x = batch.column("node").to_numpy(), _matrix(batch.column("vector"), width)
                 shard = (tokens.mix(node.view(np.uint64)) % np.uint64(shards)).astype(int)
                 for s in np.unique(shard):
-                    yield int(s), 0, 0, [node[shard == s].tobytes(), x[shard == s].tobytes()]
+                    yield int(s), 0, 0, [node[shard == s].tobytes(), _narrow(x[shard == s])]
 
         yield from batches(rows())
 
     def work(shard: int, rows: list) -> Iterable:
         node = np.concatenate([np.frombuffer(d[0], np.int64) for _, _, d in rows])
-        x = np.concatenate([np.frombuffer(d[1], np.float64).reshape(-1, width) for _, _, d in rows])
+        x = np.concatenate([_wide(d[1], width) for _, _, d in rows])
         order = np.argsort(tokens.mix(node.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))  # the same graph however rows arrive
         node, x = node[order], x[order]
         g = hnsw.build(_unit(x), tokens.mix(node.view(np.uint64)))
-        yield shard, 0, shard, [node.tobytes(), x.tobytes(), *(part for members, links in g.layers for part in (members.astype(np.int64).tobytes(), links.tobytes()))]
+        # of an upper layer only its members have neighbours
+        yield shard, 0, shard, [node.tobytes(), _narrow(x), *(part for members, links in g.layers for part in (members.astype(np.int32).tobytes(), links[members].tobytes()))]
 
     return meet(nodes.mapInArrow(send, SCHEMA), max(1, shards), work)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """As single precision where that loses nothing."""
+    single = x.astype(np.float32)
+    return b"s" + single.tobytes() if (single == x).all() else b"d" + x.tobytes()
+
+
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[:1] == b"s" else np.float64, offset=1).reshape(-1, width).astype(np.float64)
+
+
 def _load(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, hnsw.Graph]:
     node = np.frombuffer(data[0], np.int64)
-    x = _unit(np.frombuffer(data[1], np.float64).reshape(-1, width))
-    layers = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int32).reshape(len(node), -1)) for a, b in zip(data[2::2], data[3::2], strict=True)]
+    x = _unit(_wide(data[1], width))
+    layers = []
+    for a, b in zip(data[2::2], data[3::2], strict=True):
+        members = np.frombuffer(a, np.int32)
+        links = np.frombuffer(b, np.int32).reshape(len(members), -1)
+        whole = np.full((len(node), links.shape[1]), -1, np.int32)
+        whole[members] = links
+        layers.append((members, whole))
     return node, x, hnsw.Graph(x.astype(np.float32), layers)
 
 
@@ -97,7 +114,7 @@ def _links(nodes: DataFrame, graphs: DataFrame, shards: int, width: int, beam: i
                 node, x = batch.column("node").to_numpy(), _matrix(batch.column("vector"), width)
                 group = (tokens.mix(node.view(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(int)
                 for g in np.unique(group):
-                    data = [node[group == g].tobytes(), x[group == g].tobytes()]
+                    data = [node[group == g].tobytes(), _narrow(x[group == g])]
                     for s in range(shards):
                         yield int(s * groups + g), 1, 0, data
 
@@ -107,9 +124,10 @@ def _links(nodes: DataFrame, graphs: DataFrame, shards: int, width: int, beam: i
         if rows[0][0] != 0:
             return
         node, x, graph = _load(rows[0][2], width)
+        rows[0] = (0, 0, [])
         for _, _, data in rows[1:]:
             own = np.frombuffer(data[0], np.int64)
-            q = _unit(np.frombuffer(data[1], np.float64).reshape(-1, width))
+            q = _unit(_wide(data[1], width))
             ids, near = graph.search(q.astype(np.float32), min(beam, len(node)))
             r, c = np.nonzero((ids >= 0) & (near >= threshold - 1e-4))
             i = ids[r, c]

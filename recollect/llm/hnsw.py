@@ -13,6 +13,8 @@ import numpy as np
 
 LINKS = 16
 EXPANDED = 3
+#: Vectors whose neighbours are compared with each other at a time.
+SPREAD_BLOCK = 256
 
 
 @dataclass
@@ -72,6 +74,8 @@ def _walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, be
 
 def _spread(x: np.ndarray, of: np.ndarray, ids: np.ndarray, cos: np.ndarray, most: int) -> np.ndarray:
     """Neighbours that are nearer to the vector than to each other first, then the nearest of the rest."""
+    if len(ids) > SPREAD_BLOCK:
+        return np.concatenate([_spread(x, of[i : i + SPREAD_BLOCK], ids[i : i + SPREAD_BLOCK], cos[i : i + SPREAD_BLOCK], most) for i in range(0, len(ids), SPREAD_BLOCK)])
     order = np.argsort(-cos, axis=1, kind="stable")
     ids, cos = np.take_along_axis(ids, order, 1), np.take_along_axis(cos, order, 1)
     valid = (ids >= 0) & (ids != of[:, None])
