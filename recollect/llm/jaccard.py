@@ -16,12 +16,16 @@ band are joined on (band, position, word): no similar pair is missed.
 * Equal sets are one node. Of the nodes that share a word, each is compared
   with the least one. Copies of one text, however many, are linked by that
   alone; only where a group still holds several components, its nodes of
-  different components are compared with each other. Groups of many nodes are
-  first split by a second common word: sketches have two words more than d at
-  least, so similar pairs agree in two.
+  different components are compared with each other. Groups of the same nodes
+  count once. Very large groups are first split by a second common word:
+  sketches have two words more than d at least, so similar pairs agree in two.
+* A pair is compared first by parity bits, one for each shingle: the number of
+  bits that differ is no greater than the symmetric difference. Only pairs
+  within d of each other have their whole sets fetched and verified:
+  100 * |A & B| >= 85 * |A | B|.
 
-Pairs are verified on whole sets: 100 * |A & B| >= 85 * |A | B|. Components of
-the links between nodes, and the documents of each node, give the classes.
+Components of the links between nodes, and the documents of each node, give
+the classes.
 
 Cases: null, empty and wordless texts have an empty set and are linked with
 nothing; a text of fewer than four words has its whole sequence as its one
@@ -45,7 +49,9 @@ from recollect.llm.graph import components
 
 SHINGLE = 4
 PERCENT = 85
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Most nodes whose ids are broadcast to find their texts: about 8 MB.
+BROADCAST_NODES = 250_000
 _U = np.uint64
 
 
@@ -125,21 +131,41 @@ def sketch_keys(s, chosen: np.ndarray, percent: int, only: int | None = None, le
     return np.concatenate([none.view(_U), *keys]), np.concatenate([none, *owners])
 
 
-def shingle_sets(docs: DataFrame, text_col: str, shingle: int, keep: list[str]) -> DataFrame:
-    """``keep`` with n_shingles and node."""
+def parities(s: Sets) -> list[bytes]:
+    """Parity bits of each text's shingles: at least as many bits as shingles, a power of two and 64 or more."""
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(s.n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    doc = np.repeat(np.arange(len(s.n)), s.n)
+    odd = np.bincount(base[doc] + (s.items & (bits[doc] - 1).astype(_U)).astype(np.int64), minlength=base[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[i // 8 : j // 8] if n else b"" for i, j, n in zip(base[:-1], base[1:], s.n, strict=True)]
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits as those of fewer bits: a shingle's place is its hash modulo their number."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def within(a: np.ndarray, b: np.ndarray, sizes: int, percent: int) -> bool:
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) <= difference(percent, sizes)
+
+
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int, keep: list[str], parity: bool = False) -> DataFrame:
+    """``keep`` with n_shingles, node and, if asked for, parity."""
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
             s = Sets(batch.column(text_col), shingle)
-            return [s.n, s.node]
+            return [s.n, s.node, *([parities(s)] if parity else [])]
 
         return run
 
-    return annotate(docs, text_col, [("n_shingles", T.LongType()), ("node", T.LongType())], make, keep)
+    return annotate(docs, text_col, [("n_shingles", T.LongType()), ("node", T.LongType()), *([("parity", T.BinaryType())] if parity else [])], make, keep)
 
 
 def _groups(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """``key, node, least``: nodes that share a sketch word with others, with the least node of theirs."""
+    """``same, key, node, least``: nodes that share a sketch word with others, with the least node of theirs. Groups of the same nodes have the same ``same``; one of them is given, and by each part that has one."""
     parts = parallelism(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +193,19 @@ def _groups(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataF
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
             n = np.diff(np.concatenate([first, [len(keys)]]))
             least, n = np.repeat(nodes[first], n), np.repeat(n, n)
-            keys, nodes, least = (x[n > 1] for x in (keys, nodes, least))
+            run = np.concatenate([np.zeros(1, _U), np.cumsum(tokens.mix(nodes.view(_U)), dtype=_U)])
+            end = np.concatenate([first[1:], [len(keys)]]) if len(keys) else first
+            same = tokens.mix(run[end] - run[first])
+            _, once = np.unique(same, return_index=True)
+            chosen = np.zeros(len(first), bool)
+            chosen[once] = True
+            many = end - first
+            keys, nodes, least, same = (x[(n > 1) & np.repeat(chosen, many)] for x in (keys, nodes, least, np.repeat(same.view(np.int64), many)))
             for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (keys, nodes, least)], names=["key", "node", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (same, keys, nodes, least)], names=["same", "key", "node", "least"])
 
     sent = docs.select(text_col).mapInArrow(sketch, "part int, keys binary, nodes binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "key long, node long, least long")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "same long, key long, node long, least long")
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -221,7 +254,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """``node, items`` of the given nodes, from one document of each."""
-    wanted = classes.join(nodes, "node").select(F.col("first").alias(id_col), F.col("node").alias("wanted"))
+    wanted = classes.join(nodes, "node").select(F.col("first").alias("first_id"), F.col("node").alias("wanted"))
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
@@ -231,14 +264,16 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str,
 
         return run
 
-    named = docs.select(F.col(id_col), F.col(text_col)).join(wanted, id_col)
+    # ids of a few documents go to all texts; more than that, and both sides are dealt by id
+    small = nodes.count() <= BROADCAST_NODES
+    named = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(wanted) if small else wanted, F.col(id_col).eqNullSafe(F.col("first_id")))
     out = annotate(named, text_col, [("node", T.LongType()), ("items", T.BinaryType())], make, ["wanted"])
     # an id that is repeated with another text brings other sets along
     return out.where("node = wanted").drop("wanted").dropDuplicates(["node"])
 
 
-#: Nodes of a group that are compared with each other without a second word.
-SMALL_GROUP = 48
+#: Nodes of a group that one task compares with each other; larger groups are split by a second word.
+CROWD = 4096
 
 
 def _second_words(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,44 +300,157 @@ def _second_words(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return crowd.join(sets, "node").select("key", "node", "items").mapInArrow(run, "key long, node long").distinct()
 
 
-def _across(groups: DataFrame, about: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs of nodes that share a word but no component. ``about`` has ``node, label, n``."""
-    mixed = groups.join(about, "node").groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and many > 2").select("key", "many")
-    mixed = stored(groups.join(mixed, "key").select("key", "node", "many"), "jaccard-mixed")
-    few = mixed.where(F.col("many") <= SMALL_GROUP).select("key", "node")
-    many = _second_words(mixed.where(F.col("many") > SMALL_GROUP), sets, percent)
-    sides = stored(few.unionByName(many).join(about, "node"), "jaccard-sides")
-    a = sides.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    b = sides.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    similar = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
-    return a.join(b, "key").where(similar).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that sizes and parity bits allow to be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            x, y = batch.column("x"), batch.column("y")
+            for i in np.flatnonzero(ok):
+                ok[i] = within(np.frombuffer(x[int(i)].as_buffer(), _U), np.frombuffer(y[int(i)].as_buffer(), _U), int(n[i] + m[i]), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    x = about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("x"))
+    y = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
+#: Candidates that a node of a group names in the first round; in each round twice as many as before.
+NAMED = 4
+
+
+def _compared(groups: DataFrame, percent: int, most: int) -> DataFrame:
+    """``key, a, b``: for each node of a group the nearest ``most`` nodes of other components that sizes and parity bits allow. ``groups`` has ``key, node, label, n, parity, failed``."""
+
+    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        n, label, node = (t.column(c).to_numpy() for c in ("n", "label", "node"))
+        if len(n) < 2 or label.min() == label.max():
+            return
+        order = np.argsort(n, kind="stable")
+        parity, failed = t.column("parity"), t.column("failed")
+        raw = [np.frombuffer(parity[int(i)].as_buffer(), _U) for i in order]
+        bits = np.array([folded(x, min(map(len, raw))) for x in raw])
+        n, label, node = n[order], label[order], node[order]
+        upto = np.searchsorted(n, n * 100 // percent, "right")
+        a, b = [], []
+        for i in range(len(n) - 1):
+            j = np.flatnonzero(label[i + 1 : upto[i]] != label[i]) + i + 1
+            if not len(j):
+                continue
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = apart <= (100 - percent) * (n[j] + n[i]) // (100 + percent)
+            if not near.any():
+                continue
+            j, apart = j[near], apart[near]
+            if known := failed[int(order[i])].as_py():
+                new = ~np.isin(node[j], known)
+                j, apart = j[new], apart[new]
+            best = node[j[np.argsort(apart, kind="stable")[:most]]]
+            a.append(np.minimum(best, node[i]))
+            b.append(np.maximum(best, node[i]))
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t.column("key")[0].as_py())), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if i < j:
+                    if key[i] != at and held:
+                        yield from compare(held)
+                        held = []
+                    at = key[i]
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield from compare(held)
+
+    n = parallelism(groups.sparkSession)
+    return groups.select("key", "node", "label", "n", "parity", "failed").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: id, n_shingles, node and component_id (the least id reachable by links)."""
     spark = docs.sparkSession
-    members = stored(shingle_sets(docs, text_col, shingle, [id_col]), "jaccard-sets")
-    classes = members.where("n_shingles > 0").groupBy("node").agg(F.min(id_col).alias("first"), F.min("n_shingles").alias("n"))
-    groups = stored(_groups(docs, text_col, shingle, percent), "jaccard-groups")
-    release(spark)
-    tried = stored(groups.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
-    nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_sets_of(docs, nodes, classes, id_col, text_col, shingle), "jaccard-items")
-    release(spark)
-    links = stored(verify(tried, sets, percent), "jaccard-links")
+    passing: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        passing.append(stored(df, f"jaccard-{name}"))
+        return passing[-1]
+
+    members = stored(shingle_sets(docs, text_col, shingle, [id_col], parity=True), "jaccard-sets")
+    classes = kept(members.where("n_shingles > 0").groupBy("node").agg(F.min(id_col).alias("first"), F.min("n_shingles").alias("n"), F.first("parity").alias("parity")), "nodes")
+    found = _groups(docs, text_col, shingle, percent)
+    groups = kept(found.groupBy("same", "node", "least").agg(F.min("key").alias("key")), "groups")
     release(spark)
-    labels = stored(components(links), "jaccard-labels")
-    about = classes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
-    more = stored(_across(groups.select("key", "node"), about, tried, sets, percent), "jaccard-pairs")
-    found = stored(verify(more, sets, percent), "jaccard-links")
-    if not found.isEmpty():
-        labels = stored(components(links.unionByName(found)), "jaccard-labels")
-    for x in (groups, tried, sets, more):
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = stored(_sets_of(docs, _ends(pairs), classes, id_col, text_col, shingle), "jaccard-items")
+        links = kept(verify(pairs, sets, percent), "links")
+        discard(sets)
+        release(spark)
+        return links
+
+    star = groups.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    tried = kept(_plausible(star, classes, percent), "tried")
+    links = verified(tried)
+    labels = kept(_relabelled(classes.select("node", F.col("node").alias("label")), links), "labels")
+    failed = kept(tried.join(links, ["a", "b"], "left_anti"), "failed")
+    sides = _sides(docs, groups, labels, classes, percent, id_col, text_col, shingle)
+    most = NAMED
+    while True:
+        # Boruvka's way: each node names its nearest candidates in other components, until no untried one is left
+        known = failed.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).groupBy(F.col("e.u").alias("node")).agg(F.collect_set("e.v").alias("failed"))
+        mixed = sides.join(labels, "node").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        sides = kept(sides.join(mixed, "key"), "sides")
+        about = sides.join(labels, "node").join(classes.select("node", "n", "parity"), "node").join(known, "node", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<bigint>")))
+        asked = kept(_compared(about, percent, most), "named")
+        if asked.isEmpty():
+            break
+        # a group that names nobody now never will: components only grow
+        sides = sides.join(asked.select("key").distinct(), "key", "left_semi")
+        named = kept(asked.select("a", "b").distinct(), "named")
+        links = verified(named)
+        most *= 2
+        labels = kept(_relabelled(labels, links), "labels")
+        failed = kept(failed.unionByName(named.join(links, ["a", "b"], "left_anti")), "failed")
+    labels = stored(labels, "jaccard-labels")
+    for x in passing:
         discard(x)
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = members.drop("parity").join(labels, "node", "left")
     least = labelled.where("n_shingles > 0").groupBy("label").agg(F.min(id_col).alias("least_id"))
     return labelled.join(least, "label", "left").select(id_col, "n_shingles", "node", F.coalesce("least_id", F.col(id_col)).alias("component_id"))
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``node, label``) after the links: components of the labels that they join."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    new = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _sides(docs: DataFrame, groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``key, node`` of the groups with several components and more than a pair; of crowds, of their nodes with a second word."""
+    mixed = groups.join(labels, "node").groupBy("same").agg(F.count("*").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and many > 2").select("same", "many")
+    mixed = stored(groups.join(mixed, "same").select("same", "key", "node", "many"), "jaccard-mixed")
+    few = mixed.where(F.col("many") <= CROWD).select(F.col("same").alias("key"), "node")
+    crowd = mixed.where(F.col("many") > CROWD).select("key", "node")
+    if crowd.isEmpty():
+        return few
+    sets = _sets_of(docs, crowd.select("node").distinct(), classes, id_col, text_col, shingle)
+    return few.unionByName(_second_words(crowd, sets, percent))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recollect.llm import decontamination, embedding, html, jaccard, katz, mixing, pii, quality, sharding, toxicity
+from recollect.llm import decontamination, embedding, graph, html, jaccard, katz, mixing, pii, quality, sharding, toxicity
 from recollect.llm.samples import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, size string"
@@ -330,3 +330,18 @@ def test_stage_of_repeated_and_null_ids(spark, sf_dir):
     out = corpus_pipeline.keep_one_of_each(spark, docs, sf_dir)
     assert out.columns == docs.columns
     assert sorted(str(r["text"]) for r in out.collect()) == ["", "None", "a b c d e", "q r s t", "z y x w v"]
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = brute_components(sorted(near), {i: near[i] | {i} for i in near}, lambda x, y: bool(x & y))
+    for most in (100_000, 0):
+        monkeypatch.setattr(graph, "ONE_TASK", most)
+        got = {r["node"]: r["label"] for r in graph.components(edges).collect()}
+        assert all(got.get(i, i) == label for i, label in want.items())
