@@ -49,7 +49,7 @@ from recollect.llm.graph import components
 
 SHINGLE = 4
 PERCENT = 85
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Most nodes whose ids are broadcast to find their texts: about 8 MB.
 BROADCAST_NODES = 250_000
 _U = np.uint64
