@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from recollect.llm import decontamination, jaccard, mixing, quality, sharding
 from recollect.llm.common import stored, table
 
+#: Words of a shingle and least Jaccard similarity in percent; op4's own contract binds only its query.
+SHINGLE = 5
+PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
@@ -22,9 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group the document of the least id stays; documents without words are no group."""
-    classes = jaccard.jaccard_classes(docs)
+    classes = jaccard.jaccard_classes(docs, shingle=SHINGLE, percent=PERCENT)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first_id"), F.col("node").alias("first_node")).agg(F.count("*").alias("rows"))
-    with_node = jaccard.shingle_sets(docs, "text", jaccard.SHINGLE, docs.columns)
+    with_node = jaccard.shingle_sets(docs, "text", SHINGLE, docs.columns)
     kept = with_node.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node")))
     repeated = (F.col("rows") > 1) & (F.col("n_shingles") > 0)
     return kept.where(~repeated).select(*docs.columns).unionByName(kept.where(repeated).dropDuplicates(["doc_id", "node"]).select(*docs.columns))

@@ -325,6 +325,20 @@ def test_pipeline(spark, sf_dir, corpus):
     assert {n for n, _ in corpus_pipeline.STAGES} and all(texts[r["doc_id"]] == r["text"] for r in out)
 
 
+def test_near_copies_stage(spark, sf_dir, corpus):
+    rng = np.random.default_rng(8)
+    base = rng.choice([f"w{i}" for i in range(3000)], (12, 100))
+    # two replaced words of 100: 0.81 alike in 5-word shingles, under 0.85 in 4-word ones
+    near = [t for k, b in enumerate(base) for t in (" ".join(b), edited(rng, b, k % 4))]
+    texts = [t for _, t in corpus] + near
+    sets = dict(enumerate(shingles(t, 5) for t in texts))
+    classes = brute_components(sorted(sets), sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    other = brute_components(sorted(sets), {i: shingles(t) for i, t in enumerate(texts)}, similar)
+    out = corpus_pipeline.keep_one_of_each(spark, documents(spark, texts), sf_dir)
+    assert classes != other
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, c in classes.items() if i == c)
+
+
 def test_stage_of_repeated_and_null_ids(spark, sf_dir):
     docs = documents(spark, ["a b c d e", "a b c d e", "z y x w v", None, "", "q r s t"], [1, 1, 1, None, None, None]).drop("score", "node", "size")
     out = corpus_pipeline.keep_one_of_each(spark, docs, sf_dir)
