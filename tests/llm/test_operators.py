@@ -147,6 +147,24 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_teaches_from_all_documents(spark):
+    rng = np.random.default_rng(2)
+    good = [" ".join(rng.choice(["the", "of", "house", "river", "walks", "and", "slowly"], 40)) + "." for _ in range(500)]
+    bad = [" ".join(w.upper() + "!!" for w in rng.choice(["buy", "now", "free", "cash"], 40)) for _ in range(500)]
+    docs = documents(spark, [*good, *bad, *[good[400]] * 300], [*range(1000), *[400] * 300]).repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 500)) for i in range(1000) if i % 5 == 0 and i != 400], "doc_id long, quality int")
+    model = quality.fit(docs, labels, pool_rows=50)
+    # 1101 rows have no label: the content view hands over 28 of either class in a round, however few are drawn
+    assert model.handed[0][0] == 56
+    ids = labels.withColumnRenamed("quality", "label")
+    pool = quality.Pool(quality.unlabelled(docs, ids, "doc_id", "text", quality.METADATA), quality.METADATA)
+    assert pool.n == 1101
+    rounds = [pool.hand(model.views, [[True, True], [False, False]], 0.5, 0.6, 1000) for _ in range(6)]
+    # no document is handed over twice, and a repeated id is drawn once
+    assert sum(len(rows[0][c]) for rows, _ in rounds for c in (0, 1)) == 801 and not any(sum(map(len, rows[1])) for rows, _ in rounds)
+    assert rounds[0][1][0] == [276, 276] and rounds[-1][1] == [[0, 0], [0, 0]]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     plain = ["the", "of", "house", "river", "walks", "and", "slowly", *(f"w{i}" for i in range(200))]
