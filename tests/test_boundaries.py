@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,21 @@ def test_round_robin(spark):
     assert [(r["style_text"], r["style_cluster"]) for r in out] == [("t1", "A"), ("t3", "B"), ("t2", "A")]
 
 
+def test_search_in_several_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect())
+    units_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = units_.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    x = np.array([v for _, v in rows], np.float64)
+    want = []
+    for i, v in rows:
+        if i % 50 == 0:
+            s = np.round(x @ np.array(v, np.float64), search.DIGITS)
+            want += [(i, rows[j][0], n) for n, j in enumerate(np.lexsort((np.arange(len(x)), -s))[:7], 1)]
+    assert len(want) > 7 * search.BLOCK
+    assert sorted((r["qid"], r["vec_id"], r["rank"]) for r in search.top_k(units_, queries, 7, "vec_id").collect()) == sorted(want)
+
+
 def test_end_to_end_retrieval(spark):
     m = rows_of(spark, [(i, ("ana", "me")[i % 2], f"mensaje numero {i} sobre tema {i % 5}") for i in range(40)])
     u = units.memory_units(m)
