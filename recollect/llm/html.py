@@ -6,10 +6,11 @@ opening and closing in tree order, with the tags that authors may leave out
 is visible out: blocks are apart by a line or by a blank line, list items have
 their bullet or number and hang under it, table cells stand in columns,
 preformatted text keeps its spaces, and everything else has its white space
-collapsed. Nothing visible is dropped: menus, captions and notices stay.
+collapsed. Nothing visible is dropped: menus, captions and notices stay, and so
+do formulas, the labels of drawings, options and the text of text areas.
 
 Invisible are scripts, styles, templates, document metadata, form controls
-without text, comments, elements with ``hidden`` or ``aria-hidden="true"``,
+without text, what a drawing has besides labels, comments, elements with ``hidden`` or ``aria-hidden="true"``,
 with an inline style of ``display: none`` or ``visibility: hidden``, and the
 body of ``details`` that are not open.
 
@@ -35,9 +36,12 @@ from recollect.llm.common import annotate, table
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template head title meta link base noscript iframe object svg math canvas audio video select datalist textarea noembed noframes".split())
+UNSEEN = frozenset("script style template head title meta link base noscript iframe object canvas audio video datalist noembed noframes annotation annotation-xml".split())
+#: In a drawing text is shown in labels only, and not in those of parts that are only defined.
+LABEL = frozenset("text foreignobject".split())
+DEFINED = frozenset("defs symbol clippath mask pattern marker".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table hr fieldset".split())
-BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dir dt figcaption footer form header hgroup legend li main menu nav option search section summary caption thead tbody tfoot tr".split())
+BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dir dt figcaption footer form header hgroup legend li main menu nav optgroup option search section select summary textarea caption thead tbody tfoot tr".split())
 CLOSES_P = SPACED | frozenset("address article aside center details dialog dir div dl fieldset figcaption figure footer form header hgroup main menu nav search section summary".split())
 #: What an opening tag closes, up to the elements that it may not reach across.
 IMPLIED = {
@@ -235,7 +239,8 @@ def table_lines(rows: list[list[list[str]]]) -> list[str]:
 def _hidden(tag: str, raw: str) -> bool:
     if tag in UNSEEN:
         return True
-    if "hidden" not in raw and "isplay" not in raw and "isibility" not in raw and tag != "input":
+    low = raw.lower()
+    if "hidden" not in low and "display" not in low and "visibility" not in low and tag != "input":
         return False
     a = attributes(raw)
     return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(a.get("style", "")))
@@ -251,11 +256,12 @@ def render(page: str) -> str:
     tables: list[list[list[list[str]]]] = []
     lists: list[int | None] = []
     opened: list[tuple[str, bool, int]] = []  # tag, hides, indents it added
-    hidden = kept = closed_details = 0
+    hidden = kept = closed_details = drawings = labels = 0
     for kind, tag, more in events(page):
         if kind == "text":
-            if not hidden and not (opened and opened[-1][0] == "details-closed"):
-                flow.text(tag if more == "raw" else entities.unescape(tag), kept > 0)
+            if not hidden and not (opened and opened[-1][0] == "details-closed") and (labels or not drawings):
+                area = opened and opened[-1][0] == "textarea"
+                flow.text(entities.unescape(tag.replace("\r\n", "\n").removeprefix("\n")) if area else tag if more == "raw" else entities.unescape(tag), kept > 0)
             continue
         if kind == "open":
             hides = _hidden(tag, more) or (closed_details > 0 and opened and opened[-1][0] == "details-closed" and tag != "summary")
@@ -268,11 +274,16 @@ def render(page: str) -> str:
                     elif tag == "img" and (alt := attributes(more).get("alt", "").strip()):
                         flow.text(alt, False)
                 continue
+            name = tag
+            if drawings and tag in LABEL | DEFINED and not more.rstrip().endswith("/"):
+                name = "drawing-label" if tag in LABEL else tag
+                hides = hides or tag in DEFINED
+            drawings += tag == "svg"
+            labels += name == "drawing-label"
             hidden += hides
             added = 0
-            name = tag
             if not hidden:
-                if tag in BLOCK:
+                if tag in BLOCK or name == "drawing-label":
                     nested = tag in ("ul", "ol") and lists
                     flow.border(tag in SPACED and not nested)
                 if tag in ("ul", "menu", "dir"):
@@ -288,7 +299,7 @@ def render(page: str) -> str:
                 elif tag in ("dd", "blockquote"):
                     flow.indents.append("  ")
                     added = 1
-                elif tag == "pre":
+                elif tag in ("pre", "textarea"):
                     kept += 1
                 elif tag == "table":
                     tables.append([])
@@ -320,14 +331,14 @@ def render(page: str) -> str:
                     flow.put(line)
                 flow.border(True)
             else:
-                if name == "pre" and flow.run:
+                if name in ("pre", "textarea") and flow.run:
                     flow.flush(True)
-                if name in BLOCK or name == "details-closed":
+                if name in BLOCK or name in ("details-closed", "drawing-label"):
                     nested = name in ("ul", "ol") and len(lists) > 1
                     flow.border(name in SPACED and not nested)
                 if name in ("ul", "menu", "dir", "ol") and lists:
                     lists.pop()
-                elif name == "pre":
+                elif name in ("pre", "textarea"):
                     kept -= 1
                 if added and name in ("li", "dd", "blockquote"):
                     flow.indents.pop()
@@ -335,6 +346,8 @@ def render(page: str) -> str:
                 if name == "details-closed":
                     closed_details -= 1
         hidden -= hides
+        drawings -= name == "svg"
+        labels -= name == "drawing-label"
     flow.flush()
     while flows:  # cells that an end of the page closed are closed by events; nothing is left here
         flow = flows.pop()

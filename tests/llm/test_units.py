@@ -140,6 +140,21 @@ def test_rendering(page):
     assert html.render(page) == PAGES[page]
 
 
+VISIBLE = {
+    "a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> b": "a x=1 b",
+    "<svg><title>t</title><desc>d</desc><defs><text>e</text></defs><path/><g><text>one</text><text>two <tspan>x</tspan></text></g>z</svg>f": "one\ntwo x\nf",
+    "<svg><foreignObject><p>in</p></foreignObject></svg><svg hidden><text>no</text></svg>out": "in\n\nout",
+    "<select><option>red<option selected>green</select>c<datalist><option>no</datalist>": "red\ngreen\nc",
+    "<textarea>\na &amp; <b>\n  c</textarea>d": "a & <b>\n  c\nd",
+    "<div HIDDEN>a</div><p STYLE='DISPLAY:NONE'>b</p><p Style='VISIBILITY: Hidden'>c</p><i ARIA-HIDDEN=TRUE>d</i>e": "e",
+}
+
+
+@pytest.mark.parametrize("page", VISIBLE)
+def test_rendering_of_visible_and_hidden_elements(page):
+    assert html.render(page) == VISIBLE[page]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<details>", "<pre>", "</pre>", "<div hidden>", "</div>", "w", "<", ">", "<!--", "-->", "<br>", "<dd>", "</td>", "</tr>", "<script>", "</script>"]), max_size=30))
 def test_rendering_never_fails(parts):
