@@ -87,6 +87,8 @@ DIGIT_NAMES = {
     for names in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")
     for value, name in enumerate(names.split())
 } | {"oh": "0", "zwo": "2"}
+#: Words are counted with A-Z lowered only.
+_LOUD_NAMES = ["".join(c if c < "\u0080" else c.upper() for c in name) for name in DIGIT_NAMES if not name.isascii()]
 DOTS = "dot|punto|punkt|point|period"
 ATS = "at|arroba|arobase"
 #: Spelled digits in a row that count as a number and not as prose.
@@ -209,13 +211,13 @@ def suspects(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     per_text = lambda hit: np.diff(np.concatenate([[0], np.cumsum(hit)])[at])
     digits = per_text((data >= 48) & (data <= 57))
     plain = (per_text(data == 64) > 0) | (digits >= 4)
-    # lead bytes of other scripts, of punctuation and of styled characters; soft hyphen and no-break space follow 0xC2
-    strange = (data >= 0xCD) & (data <= 0xD4) | (data == 0xE2) | (data == 0xEF) | (data == 0xF0) | (data == 0xC2) | (data == 0xC4) | (data == 0xE3) | ((data >= 0xD9) & (data <= 0xDB)) | (data == 0xE0)
+    # lead bytes of all characters that _plain rewrites: of other scripts and their digits, of punctuation and of styled characters; soft hyphen and no-break space follow 0xC2
+    strange = (data >= 0xCD) & (data <= 0xD4) | (data == 0xE2) | (data == 0xEF) | (data == 0xF0) | (data == 0xC2) | (data == 0xC4) | (data == 0xE3) | ((data >= 0xD9) & (data <= 0xDB)) | (data == 0xE0) | (data == 0xDF) | (data == 0xE1) | (data == 0xEA)
     t = tokens.tokenise(column, tokens.ALNUM_WORDS)
     of_words = lambda hit: np.diff(np.concatenate([[0], np.cumsum(hit)])[t.first])
     dots = of_words(np.isin(t.hashes, _word_set(DOTS.split("|"))))
     ats = of_words(np.isin(t.hashes, _word_set(ATS.split("|"))))
-    names = of_words(np.isin(t.hashes, _word_set(list(DIGIT_NAMES))))
+    names = of_words(np.isin(t.hashes, _word_set([*DIGIT_NAMES, *_LOUD_NAMES])))
     signs = per_text(data == 64)
     brackets = per_text((data == 91) | (data == 40) | (data == 123) | (data == 60))
     return plain, (per_text(strange) > 0) | (names >= SPELLED_RUN) | ((dots > 0) & (ats + signs > 0)) | ((dots >= 3) & (digits >= 4)) | ((ats > 0) & (brackets > 0)) | ((signs > 0) & (brackets > 0))

@@ -206,6 +206,15 @@ def test_disguises(text, want):
     assert [(k, text[s:e]) for k, s, e in pii.disguised(text, pii.find(text))] == want
 
 
+def test_all_disguises_are_suspect():
+    rewritten = [c for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and pii._plain(c := chr(i)) is not None]
+    assert all(pii.suspects(pa.array(rewritten))[1])
+    digits = "".join(chr(0x1040 + int(d)) for d in "14155550199")
+    texts = [f"call +{digits} now", "ring +49 FÜNF FÜNF ZÉRO FÜNF FÜNF FÜNF ZÉRO FÜNF FÜNF"]
+    for t, odd in zip(texts, pii.suspects(pa.array(texts))[1], strict=True):
+        assert odd and pii.disguised(t, pii.find(t))
+
+
 def test_pii_time_is_linear():
     began = time.time()
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "@" * 100_000, "+1 " * 50_000, "one " * 20_000):
