@@ -141,7 +141,7 @@ def sequence_hashes(hashes: np.ndarray, first: np.ndarray, k: int, whole_short:
     return mix(total), offsets
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The same rows in the same order, in batches of about ``limit`` bytes of ``column``, one row at least."""
     held: list[pa.RecordBatch] = []
     size = count = 0
