@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm import tokens
-from recollect.llm.common import annotate, discard, parallelism, release, stored, table
+from recollect.llm.common import annotate, discard, mapped, parallelism, release, stored, table
 from recollect.llm.graph import components
 
 SHINGLE = 4
@@ -185,11 +185,13 @@ def _groups(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataF
         for part in by_part(batches):
             keys = np.concatenate([np.frombuffer(x, np.int64) for x in part["keys"]])
             nodes = np.concatenate([np.frombuffer(x, np.int64) for x in part["nodes"]])
+            part.clear()
             order = np.lexsort((nodes, keys))
             keys, nodes = keys[order], nodes[order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
             keys, nodes = keys[new], nodes[new]
+            del order, new
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
             n = np.diff(np.concatenate([first, [len(keys)]]))
             least, n = np.repeat(nodes[first], n), np.repeat(n, n)
@@ -204,8 +206,8 @@ def _groups(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataF
             for i in range(0, len(keys), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (same, keys, nodes, least)], names=["same", "key", "node", "least"])
 
-    sent = docs.select(text_col).mapInArrow(sketch, "part int, keys binary, nodes binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "same long, key long, node long, least long")
+    sent = mapped(docs.select(text_col), sketch, "part int, keys binary, nodes binary")
+    return mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), meet, "same long, key long, node long, least long")
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -249,7 +251,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -297,7 +299,7 @@ def _second_words(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 pair = tokens.mix(np.minimum(own, keys[i]) * _U(0x9E3779B97F4A7C15) + np.maximum(own, keys[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(np.full(len(pair), nodes[i]))], names=["key", "node"])
 
-    return crowd.join(sets, "node").select("key", "node", "items").mapInArrow(run, "key long, node long").distinct()
+    return mapped(crowd.join(sets, "node").select("key", "node", "items"), run, "key long, node long").distinct()
 
 
 def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +316,7 @@ def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
 
     x = about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("x"))
     y = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y"), run, "a long, b long")
 
 
 #: Candidates that a node of a group names in the first round; in each round twice as many as before.
@@ -372,7 +374,7 @@ def _compared(groups: DataFrame, percent: int, most: int) -> DataFrame:
             yield from compare(held)
 
     n = parallelism(groups.sparkSession)
-    return groups.select("key", "node", "label", "n", "parity", "failed").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    return mapped(groups.select("key", "node", "label", "n", "parity", "failed").repartition(n, "key").sortWithinPartitions("key"), run, "key long, a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
