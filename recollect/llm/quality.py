@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm import tokens
-from recollect.llm.common import annotate, discard, stored, table
+from recollect.llm.common import annotate, discard, mapped, stored, table
 from recollect.llm.logistic import Logistic
 from recollect.llm.samples import SEED, labelled_ids
 
@@ -42,6 +42,8 @@ ROUNDS = 5
 HANDED = 0.05
 SURE = 0.95
 THRESHOLD = 0.5
+#: Bytes of text whose features are computed at a time: sums over bytes take some 60 times as much memory.
+CHUNK = 1 << 20
 METADATA = ("lang", "source", "n_chars")
 _SLOTS = 32
 #: Certainties are counted in so many buckets a unit of the logit, up to the logit _MOST.
@@ -186,7 +188,7 @@ class Pool:
                     add(uid, views, free)
             yield from end()
 
-        return self.rows.mapInArrow(run, schema)
+        return mapped(self.rows, run, schema)
 
     def hand(self, models: list[Logistic], trusted: list[list[bool]], handed: float, sure: float, drawn: int) -> tuple[list[list[np.ndarray]], list[list[int]]]:
         """For each view and class at most ``drawn`` rows, of the *other* view, from the documents handed over; and about how many these are."""
@@ -292,7 +294,7 @@ def unlabelled(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, colu
 
     rest = docs.join(F.broadcast(ids.select(id_col)), id_col, "left_anti")
     uid = F.xxhash64(F.lit(SEED + 1), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).alias("uid")
-    return annotate(rest.select(uid, *dict.fromkeys([*columns, text_col])), text_col, [("features", T.BinaryType())], make, ["uid", *columns])
+    return annotate(rest.select(uid, *dict.fromkeys([*columns, text_col])), text_col, [("features", T.BinaryType())], make, ["uid", *columns], CHUNK)
 
 
 def _views(docs: DataFrame, text_col: str, columns: tuple[str, ...], keep: list[str]) -> DataFrame:
@@ -302,7 +304,7 @@ def _views(docs: DataFrame, text_col: str, columns: tuple[str, ...], keep: list[
 
         return run
 
-    return annotate(docs.select(*dict.fromkeys([*keep, *columns, text_col])), text_col, [("content", _VECTOR), ("metadata", _VECTOR)], make, [*keep, *columns]).drop(*columns)
+    return annotate(docs.select(*dict.fromkeys([*keep, *columns, text_col])), text_col, [("content", _VECTOR), ("metadata", _VECTOR)], make, [*keep, *columns], CHUNK).drop(*columns)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = METADATA, rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained | float:
@@ -338,7 +340,7 @@ def score_quality(docs: DataFrame, model: CoTrained | float, text_col: str = "te
 
         return run
 
-    out = annotate(docs, text_col, fields, make, list(dict.fromkeys([*kept, *columns])))
+    out = annotate(docs, text_col, fields, make, list(dict.fromkeys([*kept, *columns])), CHUNK)
     return out.select(*kept, *(n for n, _ in fields))
 
 
