@@ -15,8 +15,8 @@ in training, and a last logistic function of the two calibrated logits scores
 all documents.
 
 Cases: null and empty texts are scored as texts without words; null metadata
-are values of their own; without labels of both classes every document gets
-the (smoothed) rate of good labels; repeated rows score alike.
+are values of their own; without labelled documents of both classes every document
+gets the labels' (smoothed) rate of good ones; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -314,6 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     if not good or not bad:
         return (good + 1) / (good + bad + 2)
     rows_ = sorted((r["label"], r[id_col], r["content"], r["metadata"]) for r in _views(docs.join(F.broadcast(ids), id_col), text_col, columns, [id_col, "label"]).collect())
+    if len({r[0] for r in rows_}) < 2:
+        return (good + 1) / (good + bad + 2)
     y = np.array([r[0] for r in rows_], float)
     views = [np.array([r[i] for r in rows_], float) for i in (2, 3)]
     share = np.where(y == 1, good / max(1, (y == 1).sum()), bad / max(1, (y == 0).sum()))
