@@ -1,7 +1,7 @@
 """Bounded, seeded samples of labelled rows, for fitting classifiers on the driver.
 
-The bound is in rows and in bytes of text; both are parameters of the fitting
-operators. Rows are taken in the order of a hash of their id, so that a sample
+The bound is in rows, and in bytes of text where the texts' words themselves go
+to the driver; both are parameters of the fitting operators. Rows are taken in the order of a hash of their id, so that a sample
 does not depend on how the table is laid out.
 """
 
@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 SEED = 41
 ROWS = 4_000
-BYTES = 48 << 20
 
 
 def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
-def labelled_ids(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, where: Column | None, rows: int = ROWS, size: int = BYTES) -> tuple[DataFrame, dict[int, int]]:
-    """Ids and labels of at most ``rows`` documents of either label and ``size`` bytes of text in all; and how many rows have each label.
+def labelled_ids(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, where: Column | None, rows: int = ROWS, size: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """Ids and labels of at most ``rows`` documents of either label and, if given, ``size`` bytes of text in all; and how many rows have each label.
 
     A document with several labels has the greatest; null ids and labels are
     left out.
@@ -33,6 +32,8 @@ def labelled_ids(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str
     order = F.xxhash64(F.lit(SEED), F.col(id_col))
     picked = [r for y in counts for r in known.where(F.col("label") == y).orderBy(order, id_col).limit(rows).collect()]
     ids = spark.createDataFrame([(r[0], r[1]) for r in picked], known.schema)
+    if size is None:
+        return ids, counts
     lengths = {r[0]: r[1] for r in docs.select(id_col, F.octet_length(text_col).alias("n")).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.sum("n").alias("n")).collect()}
     kept, left = [], {y: size // max(1, len(counts)) for y in counts}
     for r in picked:

@@ -39,6 +39,8 @@ from recollect.llm.samples import fold, labelled_ids
 
 #: Most labelled documents of either class that a model is fitted on.
 SAMPLE_ROWS = 4_000
+#: Bytes of text of the sample, as its words are counted on the driver: half for either label.
+SAMPLE_BYTES = 48 << 20
 THRESHOLD = 0.3
 _BITS = 22
 _NONE = np.uint64(0)
@@ -202,12 +204,12 @@ def _word_hashes(text_col: str):
     return make
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Toxicity:
     """Models from at most ``rows`` labelled documents of either class: two in three feed the counts, the third the calibration."""
-    ids, counts = labelled_ids(docs, labels, label_col, id_col, text_col, where, rows)
+    ids, counts = labelled_ids(docs, labels, label_col, id_col, text_col, where, rows, size)
     named = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(ids), id_col)
     got = annotate(named, text_col, [("words", T.BinaryType())], _word_hashes(text_col), ["label", id_col])
-    texts = {bytes(r["words"]): (r[id_col], r["label"]) for r in sorted(got.collect(), key=lambda r: -r[id_col])}
+    texts = {bytes(r["words"]): (r[id_col], r["label"]) for r in sorted(got.collect(), key=lambda r: r[id_col], reverse=True)}
     sample = sorted((i, y, w) for w, (i, y) in texts.items())
     rng = np.random.default_rng(7)
     third = rng.permutation(len(sample)) % 3 == 0

@@ -377,3 +377,29 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
         monkeypatch.setattr(graph, "ONE_TASK", most)
         got = {r["node"]: r["label"] for r in graph.components(edges).collect()}
         assert all(got.get(i, i) == label for i, label in want.items())
+
+
+CLASHING = ["node", "first_id", "first_node", "repeated", "rows", "n_shingles", "component_id", "taken", "target", "repeats", "source_size", "mix_uid", "mix_source", "quality_score", "keep_document", "content", "n_words", "contaminated", "n_items", "features", "uid"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
+def test_stage_leaves_clashing_columns_alone(spark, sf_dir, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").select("doc_id", "text", "lang", "source", "n_chars")
+    wide = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING), F.lit(0.5).alias("size"))
+    out = stage(spark, wide, sf_dir)
+    assert out.schema.simpleString() == wide.schema.simpleString()
+    rows = out.collect()
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING) and all(r["size"] == 0.5 for r in rows)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in stage(spark, docs, sf_dir).collect())
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stage_of_an_empty_table(spark, sf_dir, stage):
+    assert stage(spark, documents(spark, []).drop("size"), sf_dir).collect() == []
+
+
+def test_toxicity_with_string_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", ("vile scum " if i % 2 else "kind words ") * (1 + i % 5)) for i in range(60)], "doc_id string, text string")
+    labels = docs.select("doc_id", (F.col("text").startswith("vile")).cast("int").alias("toxic"))
+    got = toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()
+    assert np.mean([r["score"] for r in got if r["text"].startswith("vile")]) > np.mean([r["score"] for r in got if r["text"].startswith("kind")])
