@@ -47,20 +47,25 @@ def _top_k_block(units: DataFrame, block: list, k: int, id_col: str, vector_col:
     schema = StructType([StructField("qid", qid_type), StructField(id_col, id_type), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[pd.DataFrame] = [pd.DataFrame({"id": [], "score": []}) for _ in qids]
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None for _ in qids]
         for batch in batches:
             v = batch.column(vector_col)
-            ids = batch.column(id_col).to_pandas()
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, q.shape[1]))
+            ids = batch.column(id_col).to_numpy(zero_copy_only=False)
+            if not len(ids):
+                continue
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
             s = x @ q.T
-            for j in range(len(qids)):
-                near = np.flatnonzero(np.round(s[:, j], DIGITS) >= np.round(np.partition(s[:, j], -k)[-k], DIGITS)) if len(s) > k else np.arange(len(s))
-                new = pd.DataFrame({"id": ids.iloc[near].to_numpy(), "score": s[near, j]})
-                both = pd.concat([best[j], new]) if len(best[j]) else new
-                best[j] = both.assign(r=both["score"].round(DIGITS)).sort_values(["r", "id"], ascending=[False, True]).drop(columns="r").head(k)
-        for i, b in zip(qids, best, strict=True):
-            if len(b):
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(b), to_arrow_type(qid_type)), pa.array(b["id"].tolist(), to_arrow_type(id_type)), pa.array(b["score"].to_numpy(float))], names=["qid", id_col, "score"])
+            for j, had in enumerate(best):
+                own = np.round(s[:, j], DIGITS)
+                near = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+                i, c = ids[near], s[near, j]
+                if had is not None:
+                    i, c = np.concatenate([had[0], i]), np.concatenate([had[1], c])
+                first = np.lexsort((i, -np.round(c, DIGITS)))[:k]
+                best[j] = i[first], c[first]
+        for qid, found in zip(qids, best, strict=True):
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([qid] * len(found[0]), to_arrow_type(qid_type)), pa.array(found[0].tolist(), to_arrow_type(id_type)), pa.array(found[1])], names=["qid", id_col, "score"])
 
     near = units.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == q.shape[1])).select(id_col, vector_col).mapInArrow(run, schema)
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", DIGITS)), id_col)

@@ -225,20 +225,20 @@ def q_retrieve_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """WITH chats AS (SELECT 'conv_' || conv_id AS chat_name, min(conv_id) AS pos FROM conversations GROUP BY 1), q AS (SELECT conv_id*10+turn AS qid, 'dime algo de CONV_' || conv_id || ' por favor' AS query FROM conversations WHERE turn < 2),
+    """WITH chats AS (SELECT 'conv_' || conv_id AS chat_name, min(conv_id) AS pos FROM conversations GROUP BY 1), q AS (SELECT conv_id*10+turn AS qid, 'dime algo de CONV_' || conv_id || ' por favor' AS query FROM conversations),
 h AS (SELECT qid, chat_name, row_number() OVER (PARTITION BY qid ORDER BY pos, chat_name) AS rn FROM q, chats WHERE contains(lower(query), lower(chat_name))) SELECT qid, chat_name AS contact FROM h WHERE rn = 1"""
 )
 def q_contact_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = a.table(spark, sf_dir, "conversations")
     names = c.groupBy(F.concat(F.lit("conv_"), "conv_id").alias("chat_name")).agg(F.min("conv_id").alias("pos")).withColumn("source", F.lit(0))
-    queries = c.where("turn < 2").select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), F.concat(F.lit("dime algo de CONV_"), "conv_id", F.lit(" por favor")).alias("query"))
+    queries = c.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), F.concat(F.lit("dime algo de CONV_"), "conv_id", F.lit(" por favor")).alias("query"))
     return search.contact_hints(queries, names)
 
 
-@registered("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'reuse' ELSE 'encode' END AS state FROM embeddings WHERE vec_id % 5 <> 0")
+@registered("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'reuse' ELSE 'encode' END AS state FROM embeddings")
 def q_embedding_cache_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    missing, reused = embed.cache_delta(e.where("vec_id % 5 <> 0"), e.where("vec_id % 3 = 0"), "vec_id")
+    missing, reused = embed.cache_delta(e, e.where("vec_id % 3 = 0"), "vec_id")
     return missing.select("vec_id", F.lit("encode").alias("state")).unionByName(reused.select("vec_id", F.lit("reuse").alias("state")))
 
 

@@ -142,7 +142,7 @@ vu AS (
     CASE WHEN vec_id%7=0 THEN NULL ELSE value END AS reply_gap_min, label AS style_cluster, 'cluster ' || label || ' text ' || (vec_id%37) AS style_text
   FROM embeddings JOIN events ON vec_id = event_id),
 sims AS (
-  SELECT q.vec_id AS qid, u.*, list_inner_product(q.embedding::DOUBLE[], u.v) AS score FROM vu u, embeddings q WHERE q.vec_id < 5),
+  SELECT q.vec_id AS qid, u.*, list_inner_product(q.embedding::DOUBLE[], u.v) AS score FROM vu u, embeddings q WHERE q.vec_id % 50 = 0),
 newest AS (SELECT max("timestamp") AS newest FROM vu)"""
 
 
