@@ -15,7 +15,7 @@ PATTERNS = {
     "cloud secret assignment": r"(?i)aws_secret_access_key\s*[:=]\s*[A-Za-z0-9/+_=]{30,}",
     "private key": r"-----BEGIN (?:RSA|OPENSSH|EC|DSA|PGP) PRIVATE KEY-----",
 }
-BLOCKED_NAMES = (".env",)
+BLOCKED_NAMES = ("AGENTS.md", "agents.md")
 ALLOWED_ENV = ".env.example"
 BLOCKED_SUFFIXES = (".pem", ".key", ".p12", ".crt")
 
@@ -51,12 +51,13 @@ def scan_text(df: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def blocked_path(path: Column) -> Column:
-    """Why a path must not be in a repository; null if it may."""
-    name = F.element_at(F.split(path, "/"), -1)
+    """Why a path must not be in a repository: an array of reasons, empty if it may. Only the exact ``ALLOWED_ENV`` is exempt; a leading dot starts no suffix."""
+    name = F.coalesce(F.element_at(F.split(path, "/"), -1), F.lit(""))
     low = F.lower(name)
-    env = (low.startswith(".env")) & (low != ALLOWED_ENV)
-    suffix = reduce(lambda a, b: a | b, (low.endswith(x) for x in BLOCKED_SUFFIXES))
-    return F.when(name.isin(*BLOCKED_NAMES) | env, "blocked name").when(suffix, "blocked suffix")
+    env = low.startswith(".env") & (name != ALLOWED_ENV)
+    suffix = reduce(lambda a, b: a | b, (low.endswith(x) & (F.length(low) > len(x)) for x in BLOCKED_SUFFIXES))
+    reasons = ((name.isin(*BLOCKED_NAMES), "blocked name"), (env, "environment file"), (suffix, "blocked suffix"))
+    return F.array_compact(F.array(*(F.when(c, r) for c, r in reasons)))
 
 
 _NOTEBOOK = "cells array<struct<cell_type:string,source:string,outputs:array<string>>>"
@@ -79,8 +80,7 @@ def scan_notebooks(df: DataFrame, path_col: str, text_col: str) -> DataFrame:
 def scan_files(files: DataFrame) -> DataFrame:
     """Findings over ``path, content``: path rules first; notebooks by cell; other files as text unless they hold a NUL byte."""
     none = F.lit(None).cast("int")
-    why = blocked_path(F.col("path"))
-    bad = files.select("path", why.alias("label")).where("label IS NOT NULL").select("path", none.alias("cell"), none.alias("line"), "label", F.lit("path").alias("kind"))
+    bad = files.select("path", F.explode(blocked_path(F.col("path"))).alias("label")).select("path", none.alias("cell"), none.alias("line"), "label", F.lit("path").alias("kind"))
     text = files.where(F.position(F.lit(b"\0"), F.col("content")) == 0).withColumn("text", F.regexp_replace(F.decode(F.try_validate_utf8(F.make_valid_utf8(F.col("content").cast("string"))).cast("binary"), "UTF-8"), "�", ""))
     notebook = F.lower("path").endswith(".ipynb")
     plain = scan_text(text.where(~notebook), "path", "text").select("path", none.alias("cell"), "line", "label", F.lit("secret").alias("kind"))

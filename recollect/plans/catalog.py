@@ -285,15 +285,17 @@ def q_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safety.scan_text(_injected(spark, sf_dir), "doc_id", "text").select("doc_id", "label", "line")
 
 
-_ENDINGS = "CASE page_id % 6 WHEN 0 THEN '/.env' WHEN 1 THEN '/.ENV.local' WHEN 2 THEN '/.env.example' WHEN 3 THEN '/x.PEM' WHEN 4 THEN '/a.key' ELSE '/main.py' END"
+_ENDINGS = "CASE page_id % 12 WHEN 0 THEN '/.env' WHEN 1 THEN '/.ENV.local' WHEN 2 THEN '/.env.example' WHEN 3 THEN '/x.PEM' WHEN 4 THEN '/a.key' WHEN 5 THEN '/AGENTS.md' WHEN 6 THEN '/agents.md' WHEN 7 THEN '/Agents.md' WHEN 8 THEN '/.ENV.EXAMPLE' WHEN 9 THEN '/.env.key' WHEN 10 THEN '/.crt' ELSE '/main.py' END"
 
 
 @registered(
     f"""WITH p AS (SELECT page_id, url || {_ENDINGS} AS path FROM pages), n AS (SELECT page_id, list_last(string_split(path, '/')) AS name FROM p)
-SELECT page_id, CASE WHEN name = '.env' OR (starts_with(lower(name), '.env') AND lower(name) <> '.env.example') THEN 'blocked name' WHEN ends_with(lower(name), '.pem') OR ends_with(lower(name), '.key') OR ends_with(lower(name), '.p12') OR ends_with(lower(name), '.crt') THEN 'blocked suffix' END AS reason FROM n"""
+SELECT page_id, 'blocked name' AS reason FROM n WHERE name IN ('AGENTS.md', 'agents.md')
+UNION ALL SELECT page_id, 'environment file' FROM n WHERE starts_with(lower(name), '.env') AND name <> '.env.example'
+UNION ALL SELECT page_id, 'blocked suffix' FROM n WHERE regexp_matches(name, '.[.](pem|key|p12|crt)$', 'i')"""
 )
 def q_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.table(spark, sf_dir, "pages").select("page_id", safety.blocked_path(F.concat("url", F.expr(_ENDINGS))).alias("reason"))
+    return a.table(spark, sf_dir, "pages").select("page_id", F.explode(safety.blocked_path(F.concat("url", F.expr(_ENDINGS)))).alias("reason"))
 
 
 @registered(

@@ -246,3 +246,10 @@ def test_streamed_topics(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("streamed_topics").collect()) == [1, 2]
+
+
+def test_reasons_against_a_path(spark):
+    names = {"AGENTS.md": ["blocked name"], "agents.md": ["blocked name"], "Agents.md": [], ".env": ["environment file"], ".ENV.EXAMPLE": ["environment file"], ".env.example": [], ".env.key": ["blocked suffix", "environment file"], ".pem": [], "x.PEM": ["blocked suffix"], "pem": [], "": []}
+    rows = spark.createDataFrame([(f"a/{n}", b"") for n in names] + [(None, b"")], "path string, content binary")
+    found = [(r["path"], r["label"]) for r in safety.scan_files(rows).collect()]
+    assert sorted(found) == sorted((f"a/{n}", why) for n, reasons in names.items() for why in reasons)
