@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass
+import os
+import re
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,35 @@ class Settings:
         return hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()
 
 
+def env_file(path: str | Path) -> dict[str, str]:
+    """``NAME=value`` lines of a file, quotes around values removed; a file that is not there has none."""
+    p = Path(path)
+    lines = p.read_text(encoding="utf-8").splitlines() if p.is_file() else []
+    pairs = (re.fullmatch(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*", x) for x in lines)
+    return {m[1]: m[2][1:-1] if len(m[2]) > 1 and m[2][0] == m[2][-1] and m[2][0] in "'\"" else re.sub(r"\s+#.*$", "", m[2]) for m in pairs if m}
+
+
+@dataclass(frozen=True)
+class Environment:
+    """What differs between installations. The key is for the driver's calls only: it is in no plan, build key or printed value."""
+
+    chats_dir: str = "Chats en .zip"
+    owner: str = Settings.owner
+    embed_model: str = "intfloat/multilingual-e5-small"
+    chat_model: str = "gpt-4.1-mini"
+    api_key: str = field(default="", repr=False)
+
+    @classmethod
+    def read(cls, path: str | Path = ".env", environ: Mapping[str, str] | None = None, override: bool = False) -> Environment:
+        """Variables of the process, then of the file; with ``override`` the file's come first."""
+        own, given = dict(os.environ if environ is None else environ), env_file(path)
+        found = own | given if override else given | own
+        return cls(**{name: found[v] for name, v in VARIABLES.items() if v in found})
+
+
+# The variables that installations set.
+VARIABLES = {"chats_dir": "CHATS_ZIP_DIR", "owner": "MY_NAME", "embed_model": "EMBED_MODEL", "chat_model": "GEN_MODEL", "api_key": "OPENAI_API_KEY"}
+
 # Fixed values, compared with as they stand.
 SYSTEM_SNIPPETS = ("cifrado de extremo a extremo", "cambió el asunto", "cambió la foto", "cambió la descripción", "creó este grupo", "te añadieron", "mensaje eliminado", "multimedia omitido")
 ACK_WORDS = ("ok", "oki", "okey", "vale", "si", "sii", "sip", "aja", "mmm", "mm", "mhm", "jaja", "jajaja", "jeje", "jaj", "xd", "xD")

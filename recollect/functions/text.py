@@ -17,6 +17,10 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+# marked so that no filter on its result is pushed below it, where it would be evaluated a second time
+nfkc = nfkc.asNondeterministic()
+
+
 @F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))

@@ -41,13 +41,13 @@ class Echo:
 
 
 def retrying(call) -> Generator:
-    """A chat call that is repeated without a temperature where the model takes none."""
+    """A chat call that is repeated without a temperature where the model says that it takes none, whatever class its error has."""
 
     def generate(system: str, user: str, temperature: float | None) -> str:
         try:
             return call(system, user, temperature)
-        except (TypeError, ValueError):
-            if temperature is None:
+        except Exception as refused:
+            if temperature is None or "temperature" not in str(refused).lower():
                 raise
             return call(system, user, None)
 

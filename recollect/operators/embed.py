@@ -73,6 +73,18 @@ def with_unit_hash(units: DataFrame, text_col: str, version: str) -> DataFrame:
     return units.withColumn("unit_hash", fn.row_hash(version, F.col("source_id"), F.col("chat_name"), F.col("timestamp"), F.col(text_col)))
 
 
+def hash_of_hashes(df: DataFrame, column: str, version: str) -> DataFrame:
+    """One row, ``key``: sha256 of all hashes with their counts, in whatever order the rows lie.
+
+    Equal hashes are counted first, and 4096 lists by the first three digits are
+    hashed before these are: no task holds all hashes.
+    """
+    counted = df.groupBy(F.col(column).alias("h")).agg(F.count("*").alias("n"))
+    of = lambda items: F.sha2(F.array_join(F.array_sort(F.collect_list(items)), "\n"), 256)
+    parts = counted.groupBy(F.substring("h", 1, 3).alias("p")).agg(of(F.concat_ws(":", "h", "n")).alias("x"))
+    return parts.agg(F.sha2(F.concat(F.lit(version + "\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "x"))), "\n")), 256).alias("key"))
+
+
 def cache_delta(units: DataFrame, cache: DataFrame, key: str = "unit_hash") -> tuple[DataFrame, DataFrame]:
     """Distinct keys to encode, and cached rows that stay in use."""
     keys = units.select(key).distinct()

@@ -48,6 +48,11 @@ def with_owner(messages: DataFrame, owner: str) -> DataFrame:
     return messages.withColumn("is_me", (F.col("sender_key") == key) & F.lit(bool(key)))
 
 
+def owner_counts(messages: DataFrame) -> DataFrame:
+    """One row: how many messages there are, and how many the owner's are."""
+    return messages.agg(F.count("*").alias("n"), F.count_if("is_me").alias("own"))
+
+
 def with_labels(messages: DataFrame, unicode: bool = True) -> DataFrame:
     """Needs ``is_me``. Messages whose text is empty once normalized are left out."""
     t = F.col("text")

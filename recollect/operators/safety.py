@@ -78,13 +78,15 @@ def scan_notebooks(df: DataFrame, path_col: str, text_col: str) -> DataFrame:
 
 
 def scan_files(files: DataFrame) -> DataFrame:
-    """Findings over ``path, content``: path rules first; notebooks by cell; other files as text unless they hold a NUL byte."""
+    """Findings over ``path, content``: path rules first; notebooks by cell, where bytes that are no UTF-8 or hold NUL are a parse failure; other files as text unless they hold a NUL byte."""
     none = F.lit(None).cast("int")
     bad = files.select("path", F.explode(blocked_path(F.col("path"))).alias("label")).select("path", none.alias("cell"), none.alias("line"), "label", F.lit("path").alias("kind"))
-    text = files.where(F.position(F.lit(b"\0"), F.col("content")) == 0).withColumn("text", F.regexp_replace(F.decode(F.try_validate_utf8(F.make_valid_utf8(F.col("content").cast("string"))).cast("binary"), "UTF-8"), "�", ""))
     notebook = F.lower("path").endswith(".ipynb")
-    plain = scan_text(text.where(~notebook), "path", "text").select("path", none.alias("cell"), "line", "label", F.lit("secret").alias("kind"))
-    return bad.unionByName(plain).unionByName(scan_notebooks(text.where(notebook), "path", "text"))
+    whole = F.col("content").cast("string")
+    cells = files.where(notebook).select("path", F.when(F.is_valid_utf8(whole) & (F.position(F.lit(b"\0"), F.col("content")) == 0), whole).alias("text"))
+    text = files.where(~notebook & (F.position(F.lit(b"\0"), F.col("content")) == 0)).withColumn("text", F.regexp_replace(F.decode(F.try_validate_utf8(F.make_valid_utf8(F.col("content").cast("string"))).cast("binary"), "UTF-8"), "�", ""))
+    plain = scan_text(text, "path", "text").select("path", none.alias("cell"), "line", "label", F.lit("secret").alias("kind"))
+    return bad.unionByName(plain).unionByName(scan_notebooks(cells, "path", "text"))
 
 
 def exit_code(findings: DataFrame) -> int:

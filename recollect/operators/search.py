@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import scores
 from recollect.functions import text as fn
+from recollect.operators import embed
 
 #: Queries that are sent to all tasks at a time; more are searched for in blocks.
 BLOCK = 1024
@@ -149,10 +150,16 @@ def newest(units: DataFrame) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
 
 
+def first_seen(response: DataFrame, style: DataFrame) -> DataFrame:
+    """``chat_name, source, pos``: chats in the order in which the units, by time, first name them: response units first."""
+    pos = F.struct(F.col("timestamp").isNull().alias("undated"), "timestamp")
+    both = response.select("chat_name", F.lit(0).alias("source"), pos.alias("pos")).unionByName(style.select("chat_name", F.lit(1).alias("source"), pos.alias("pos")))
+    return both.where("chat_name IS NOT NULL").groupBy("chat_name").agg(F.min(F.struct("source", "pos")).alias("first")).select("chat_name", "first.source", "first.pos")
+
+
 def retrieve_bundle(queries: DataFrame, response: DataFrame, style: DataFrame, k_response: int = 6, k_style: int = 8, min_score: float = 0.22, tie: str = "unit_hash") -> tuple[DataFrame, DataFrame]:
     """Response and style hits of each query (``qid, query, qv``). Wide columns are joined after the search."""
-    chats = response.select("chat_name", F.lit(0).alias("source")).unionByName(style.select("chat_name", F.lit(1).alias("source"))).groupBy("chat_name").agg(F.min("source").alias("source")).withColumn("pos", F.col("chat_name"))
-    hints = contact_hints(queries, chats)
+    hints = contact_hints(queries, first_seen(response, style))
 
     def hits(units: DataFrame, role: str, k: int, floor: int, least: float) -> DataFrame:
         near = top_k(units, queries, max(floor, 8 * k), tie).drop("rank").join(units.drop("embedding"), tie).join(hints, "qid", "left")
@@ -164,3 +171,9 @@ def retrieve_bundle(queries: DataFrame, response: DataFrame, style: DataFrame, k
 def retrieve(queries: DataFrame, response: DataFrame, style: DataFrame, k_total: int = 10, min_score: float = 0.22, tie: str = "unit_hash") -> DataFrame:
     a, b = retrieve_bundle(queries, response, style, max(4, k_total // 2), max(4, k_total), min_score, tie)
     return merged(a, b, k_total, tie)
+
+
+def ask(texts: list[str], response: DataFrame, style: DataFrame, encoder: embed.Encoder, k_total: int = 10, min_score: float = 0.22, tie: str = "unit_hash") -> DataFrame:
+    """``retrieve`` for texts, which the units' own encoder embeds; ``qid`` is a text's position."""
+    queries = response.sparkSession.createDataFrame(list(enumerate(texts)), "qid int, query string")
+    return retrieve(embed.embed(queries, "query", encoder, "qv"), response, style, k_total, min_score, tie)

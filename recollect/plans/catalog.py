@@ -98,6 +98,11 @@ def q_corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.fingerprint(a.clean_conversations(spark, sf_dir)).select("n", "ts_min", "ts_max")
 
 
+@registered("WITH " + o.messages() + " SELECT count(*) AS n, count(*) FILTER (is_me) AS own FROM m")
+def q_owner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.owner_counts(a.clean_conversations(spark, sf_dir))
+
+
 # -- units ------------------------------------------------------------------------------------------------
 
 
@@ -242,6 +247,21 @@ def q_embedding_cache_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.select("vec_id", F.lit("encode").alias("state")).unionByName(reused.select("vec_id", F.lit("reuse").alias("state")))
 
 
+@registered("SELECT label AS style_cluster, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY n DESC, style_cluster LIMIT 10")
+def q_style_cluster_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = a.table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("style_cluster"))
+    return clusters.agg(F.count("*").alias("n")).orderBy(F.desc("n"), "style_cluster").limit(10)
+
+
+@registered(
+    """WITH h AS (SELECT sha256(label::VARCHAR || '|' || vec_id % 1000) AS h FROM embeddings), c AS (SELECT h, count(*) AS n FROM h GROUP BY 1),
+p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS x FROM c GROUP BY 1) SELECT sha256('v1' || chr(10) || string_agg(p || ':' || x, chr(10) ORDER BY p || ':' || x)) AS key FROM p"""
+)
+def q_cluster_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = a.table(spark, sf_dir, "embeddings").select(F.sha2(F.concat_ws("|", "label", F.expr("vec_id % 1000")), 256).alias("h"))
+    return embed.hash_of_hashes(hashed, "h", "v1")
+
+
 @registered()
 def q_kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.kmeans_labels(a.table(spark, sf_dir, "embeddings")).select("vec_id", "style_cluster")

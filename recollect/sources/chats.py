@@ -5,7 +5,9 @@ Python only unpacks archives; lines, merging, times and filters are columns.
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -26,8 +28,8 @@ LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 TIME_PATTERNS = ("d/M/yyyy H:mm", "d/M/yy H:mm", "d/M/yyyy h:mm a", "d/M/yy h:mm a")
 
 
-def export_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, modificationTime, length, content`` of the exports in a folder; unread columns are not loaded."""
+def export_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, modificationTime, length, content`` of the exports in a folder, or of the given ones; unread columns are not loaded."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{zip,csv,ZIP,CSV}").load(path)
 
 
@@ -107,7 +109,36 @@ def zip_messages(files: DataFrame) -> DataFrame:
     return parse_lines(lines(texts))
 
 
-def csv_messages(rows: DataFrame, owner: str, source: str = "csv", question_col: str = "question", answer_col: str = "owner_answer") -> DataFrame:
+CSV_COLUMNS = ("contact", "question", "question_dt", "answer_dt")
+
+
+def csv_rows(files: DataFrame, answer_col: str = "owner_answer") -> DataFrame:
+    """``path, row_no, error`` and the known columns of all CSV files in one plan; empty cells are null. A bad file is an error in its row, not of the job."""
+    wanted = [*CSV_COLUMNS, answer_col]
+    names = ["path", "row_no", *wanted, "error"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                error = None
+                try:
+                    rows = csv.DictReader(io.StringIO(content.decode("utf-8-sig"), newline=""))
+                    if {"question", answer_col} <= set(rows.fieldnames or ()):
+                        numbered = ((path, i, *(r.get(c) or None for c in wanted), None) for i, r in enumerate(rows))
+                        while part := list(itertools.islice(numbered, 4096)):
+                            yield pd.DataFrame(part, columns=names)
+                    else:
+                        error = f"no columns question and {answer_col}"
+                except (UnicodeDecodeError, csv.Error) as e:
+                    error = f"{type(e).__name__}: {e}"
+                if error:
+                    yield pd.DataFrame([(path, None, *[None] * len(wanted), error)], columns=names)
+
+    schema = ", ".join(["path string", "row_no long", *(f"`{c}` string" for c in wanted), "error string"])
+    return files.where(F.lower("path").endswith(".csv")).select("path", "content").mapInPandas(read, schema)
+
+
+def csv_messages(rows: DataFrame, owner: str, source: str | Column = "csv", question_col: str = "question", answer_col: str = "owner_answer") -> DataFrame:
     """Up to two messages of each row; rows without a readable date are dropped. Without the two required columns the result is empty."""
     spark = rows.sparkSession
     if not {question_col, answer_col} <= set(rows.columns):
@@ -119,19 +150,24 @@ def csv_messages(rows: DataFrame, owner: str, source: str = "csv", question_col:
     message = lambda ts, who, text, n: F.struct(ts.alias("timestamp"), who.alias("sender"), _strip(F.coalesce(text, F.lit(""))).alias("text"), F.lit(n).alias("n"))
     both = F.array(message(when("question_dt"), contact, column(question_col), 0), message(when("answer_dt"), F.lit(owner), column(answer_col), 1))
     seq = F.col("row_no") if "row_no" in rows.columns else F.monotonically_increasing_id()
-    out = rows.select(chat.alias("chat_name"), seq.alias("row"), F.explode(both).alias("m"))
-    out = out.select("m.timestamp", "m.sender", _plain_spaces(F.col("m.text")).alias("text"), "chat_name", F.lit(source).alias("source_file"), (F.col("row") * 2 + F.col("m.n")).cast("long").alias("seq"))
+    file = source if isinstance(source, Column) else F.lit(source)
+    out = rows.select(chat.alias("chat_name"), file.alias("source_file"), seq.alias("row"), F.explode(both).alias("m"))
+    out = out.select("m.timestamp", "m.sender", _plain_spaces(F.col("m.text")).alias("text"), "chat_name", "source_file", (F.col("row") * 2 + F.col("m.n")).cast("long").alias("seq"))
     return out.where("timestamp IS NOT NULL AND text <> ''")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def file_messages(files: DataFrame, owner: str, answer_col: str = "owner_answer") -> DataFrame:
+    """Messages of all exports (``path, content``), whatever their number, in one plan with a branch a format."""
+    rows = csv_rows(files, answer_col).where("error IS NULL")
+    return zip_messages(files).unionByName(csv_messages(rows, owner, F.col("path"), answer_col=answer_col))
+
+
+def failures(files: DataFrame, answer_col: str = "owner_answer") -> DataFrame:
+    """``path, error`` of the exports that cannot be read."""
+    bad = unzipped(files).select("path", "error").unionByName(csv_rows(files, answer_col).select("path", "error"))
+    return bad.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
 
 
 def messages(spark: SparkSession, path: str, owner: str, answer_col: str = "owner_answer") -> DataFrame:
     """All exports of a folder."""
-    files = export_files(spark, path)
-    out = zip_messages(files)
-    for r in files.where(F.lower("path").endswith(".csv")).select("path").orderBy("path").collect():
-        out = out.unionByName(csv_messages(read_csv(spark, r["path"]), owner, r["path"], answer_col=answer_col))
-    return out
+    return file_messages(export_files(spark, path), owner, answer_col)

@@ -23,6 +23,18 @@ def targets(root: Path, paths: Sequence[str] = ()) -> list[Path]:
     return [p for p in chosen if p.is_file()]
 
 
+def readable(files: Sequence[Path]) -> tuple[list[Path], list[Path]]:
+    """Files that can be opened, and those that cannot: one of these is a finding, not the end of the scan."""
+    good, bad = [], []
+    for p in files:
+        try:
+            p.open("rb").close()
+            good.append(p)
+        except OSError:
+            bad.append(p)
+    return good, bad
+
+
 def file_contents(spark: SparkSession, files: Sequence[Path]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], "path string, content binary")
@@ -35,11 +47,14 @@ def main(argv: Sequence[str] | None = None) -> int:
     parser.add_argument("--root", default=".")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    found = safety.scan_files(file_contents(spark, targets(Path(args.root).resolve(), args.paths)))
+    good, bad = readable(targets(Path(args.root).resolve(), args.paths))
+    found = safety.scan_files(file_contents(spark, good))
     rows = found.orderBy("path", "cell", "line", "label").collect()
     for r in rows:
         print(f"- {r['path']}:{r['line'] or ''}: {r['label']}")
-    return int(bool(rows))
+    for p in bad:
+        print(f"- {p}:1: cannot read file")
+    return int(bool(rows or bad))
 
 
 if __name__ == "__main__":

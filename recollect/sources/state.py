@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +90,37 @@ def rebuilt(spark: SparkSession, state_path: str, key: str, build) -> bool:
     build()
     write_json(spark, state_path, {"key": key})
     return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def publish(df: DataFrame, home: str, name: str, key: str) -> DataFrame:
+    """Writes a new version of a table, then points to it: a run that dies before leaves the old version in place.
+
+    The version before stays for those who still read it; the one before that goes.
+    """
+    spark, pointer = df.sparkSession, f"{home}/{name}.json"
+    before = read_json(spark, pointer, {})
+    path = f"{home}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    write_json(spark, pointer, {"key": key, "path": path, "before": before.get("path"), "updated_at": dt.datetime.now(dt.UTC).isoformat()})
+    if before.get("before"):
+        remove(spark, before["before"])
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def current(spark: SparkSession, home: str, name: str, key: str | None = None) -> DataFrame | None:
+    """The published version of a table, if there is one (and it was built under ``key``)."""
+    at = read_json(spark, f"{home}/{name}.json", {})
+    if not at.get("path") or (key is not None and at.get("key") != key) or not exists(spark, at["path"]):
+        return None
+    return spark.read.parquet(at["path"])
+
+
+def reused(spark: SparkSession, home: str, name: str, key: str, build) -> tuple[DataFrame, bool]:
+    """The table of this key, and whether it was there already; ``build`` makes it if not."""
+    found = current(spark, home, name, key)
+    return (publish(build(), home, name, key), False) if found is None else (found, True)
