@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +58,9 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
+#: End tags that do reach across a table's border.
+ACROSS = PARTS - {"caption"} | {"body", "html"}
 #: Elements that an end tag or an implied end does not reach across.
 SCOPE = frozenset("table td th caption html template".split())
 
@@ -103,28 +107,31 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """``_tokens`` in tree order: every 'open' of an element that is not void has its 'close'."""
     stack: list[str] = []
-    count: dict[str, int] = {}
+    # where in the stack the elements of each tag are, and its parts of tables: nothing is looked for element by element
+    places: dict[str, list[int]] = {}
+    parts: list[str] = []
 
     def push(tag: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
         stack.append(tag)
-        count[tag] = count.get(tag, 0) + 1
+        if tag in PARTS:
+            parts.append(tag)
 
     def pop() -> tuple[str, str, str]:
         tag = stack.pop()
-        count[tag] -= 1
+        places[tag].pop()
+        if tag in PARTS:
+            parts.pop()
         return "close", tag, ""
 
     def reach(tags: set[str], stops) -> int:
         """How many elements must go for the outermost of ``tags`` inside ``stops`` to close; 0 if none is open."""
-        if not any(count.get(t) for t in tags):
+        held = [p for t in tags if (p := places.get(t))]
+        if not held:
             return 0
-        found = 0
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in tags:
-                found = len(stack) - i
-            elif stack[i] in stops:
-                break
-        return found
+        stop = innermost(places, (t for t in stops if t not in tags))
+        inside = [p[at] for p in held if (at := bisect_right(p, stop)) < len(p)]
+        return len(stack) - min(inside) if inside else 0
 
     for kind, tag, more in _tokens(page):
         if kind == "text":
@@ -137,7 +144,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 close = max(close, reach(*IMPLIED[tag]))
             for _ in range(close):
                 yield pop()
-            parent = next((t for t in reversed(stack) if t in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption")), "") if tag in ("tr", "td", "th") else ""
+            parent = parts[-1] if parts else ""
             if tag in ("tr", "td", "th") and parent == "table":
                 push("tbody")
                 yield "open", "tbody", ""
@@ -151,7 +158,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             else:
                 push(tag)
         elif tag not in VOID:
-            for _ in range(reach_end(stack, count, tag)):
+            for _ in range(reach_end(len(stack), places, tag)):
                 yield pop()
         elif tag == "br":
             yield "open", "br", ""
@@ -160,16 +167,16 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         yield pop()
 
 
-def reach_end(stack: list[str], count: dict[str, int], tag: str) -> int:
+def innermost(places: dict[str, list[int]], tags) -> int:
+    """Where the innermost of ``tags`` is, -1 if none is open."""
+    return max((p[-1] for t in tags if (p := places.get(t))), default=-1)
+
+
+def reach_end(depth: int, places: dict[str, list[int]], tag: str) -> int:
     """Elements that an end tag closes: up to the innermost of its kind, not across a table's border."""
-    if not count.get(tag):
-        return 0
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i] == tag:
-            return len(stack) - i
-        if stack[i] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-            return 0
-    return 0
+    at = innermost(places, (tag,))
+    border = -1 if tag in ACROSS else innermost(places, ("td", "th", "table"))
+    return depth - at if at >= 0 and at > border else 0
 
 
 class Flow:
