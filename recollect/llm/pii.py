@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,25 +111,29 @@ _PIECE = re.compile(rf"({_NAME}|[0-9])|(plus)|({DOTS})|([\s,-]+)", re.I)
 class Tape:
     """A text and, for each of its characters, its source span and whether it was rewritten."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None, changed: list[bool] | None = None):
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None, changed: bytearray | None = None):
         self.text = text
-        self.spans = [(i, i + 1) for i in range(len(text))] if spans is None else spans
-        self.changed = [False] * len(text) if changed is None else changed
+        self.starts = array("i", range(len(text))) if starts is None else starts
+        self.ends = array("i", range(1, len(text) + 1)) if ends is None else ends
+        self.changed = bytearray(len(text)) if changed is None else changed
 
     def edited(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Tape:
         """``edits``: (start, end, what to write for it: characters with the places they stand for), in order."""
-        text, spans, changed, at = [], [], [], 0
-        for start, end, written in edits:
+        if not edits:
+            return self
+        text, starts, ends, changed, at = [], array("i"), array("i"), bytearray(), 0
+        for start, end, written in [*edits, (len(self.text), len(self.text), [])]:
             text.append(self.text[at:start])
-            spans += self.spans[at:start]
+            starts += self.starts[at:start]
+            ends += self.ends[at:start]
             changed += self.changed[at:start]
             for c, i, j in written:
                 text.append(c)
-                spans.append((self.spans[i][0], self.spans[j - 1][1]))
-                changed.append(True)
+                starts.append(self.starts[i])
+                ends.append(self.ends[j - 1])
+                changed.append(1)
             at = end
-        text.append(self.text[at:])
-        return Tape("".join(text), spans + self.spans[at:], changed + self.changed[at:]) if edits else self
+        return Tape("".join(text), starts, ends, changed)
 
 
 def _plain(c: str) -> str | None:
@@ -181,15 +186,21 @@ def addresses(tape: Tape) -> Tape:
 
 
 def disguised(text: str, plain: list[Span]) -> list[Span]:
-    """Finds that only the rewritten text shows, as source spans."""
+    """Finds that only the rewritten text shows, as source spans. Those of a kind come in order, in the text as in ``plain``: one sweep finds overlaps."""
     tape = addresses(spelled_numbers(characters(Tape(text))))
     out: list[Span] = []
+    own = {kind: [s for s in plain if s[0] == kind] for kind in KINDS}
+    at, last = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
     for kind, i, j in find(tape.text):
         if not any(tape.changed[i:j]):
             continue
-        start, end = tape.spans[i][0], tape.spans[j - 1][1]
-        if not any(k == kind and s < end and start < e for k, s, e in [*plain, *out]):
+        start, end = tape.starts[i], tape.ends[j - 1]
+        spans = own[kind]
+        while at[kind] < len(spans) and spans[at[kind]][2] <= start:
+            at[kind] += 1
+        if start >= last[kind] and (at[kind] == len(spans) or spans[at[kind]][1] >= end):
             out.append((kind, start, end))
+            last[kind] = end
     return out
 
 
