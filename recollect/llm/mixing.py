@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from recollect.llm import tokens
-from recollect.llm.common import annotate, stored, table
+from recollect.llm.common import annotate, aside, stored, table
 
 MAX_EPOCHS = 3
 SEED = 29
@@ -34,6 +34,7 @@ SEED = 29
 BROADCAST_SOURCES = 100_000
 _BINS = 4096
 FIELDS = [("size", T.LongType())]
+RESULTS = ("size", "source_size", "target", "repeats", "taken")
 
 
 def _counter(text_col: str):
@@ -57,13 +58,30 @@ def level(sources: DataFrame, max_epochs: int) -> float:
     return height
 
 
+def placed(sources: DataFrame) -> DataFrame:
+    """``sources`` with their place in order, from 0: each range of them is numbered in its own task, and one task adds up only the ranges' counts."""
+    dealt = stored(sources.repartitionByRange("mix_source").withColumn("range", F.spark_partition_id()), "mixing-ranges")
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("mix_source"))
+    return dealt.join(before, "range").withColumn("place", F.col("before") + own - 1).drop("range", "before")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", max_epochs: int = MAX_EPOCHS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (columns ``keep``) with size, source_size, target, repeats and taken.
 
     ``weights`` has ``source`` and ``weight``; without it sources by code
-    point, null last, weigh 1, 2, 3, repeating.
+    point, null last, weigh 1, 2, 3, repeating. Columns of ``docs`` that have
+    the names of the five results are replaced by these; all others come back
+    as they are, whatever their names.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {"size", "source_size", "target", "repeats", "taken"}]
+    shown = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
+    docs, names = aside(docs, [source_col, text_col, id_col])
+    out = _mixed(docs, weights, source_col, text_col, id_col, max_epochs, seed, [names.get(c, c) for c in shown])
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in shown), *RESULTS)
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, source_col: str, text_col: str, id_col: str, max_epochs: int, seed: int, keep: list[str]) -> DataFrame:
     sized = annotate(docs, text_col, FIELDS, _counter(text_col), list(dict.fromkeys([*keep, source_col, id_col])))
     uid = F.monotonically_increasing_id().alias("mix_uid")
     base = stored(sized.select("*", uid), "mixing")
@@ -72,7 +90,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
     bins = base.groupBy("mix_source", "mix_bin").agg(F.sum("size").alias("bin_size"))
     sources = bins.groupBy("mix_source").agg(F.sum("bin_size").alias("source_size"))
     if weights is None:
-        sources = sources.withColumn("weight", (F.pmod(F.row_number().over(Window.orderBy("mix_source")) - 1, F.lit(3)) + 1).cast("double"))
+        sources = placed(sources).withColumn("weight", (F.pmod("place", F.lit(3)) + 1).cast("double")).drop("place")
     else:
         w = weights.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("mix_source"), F.col("weight").cast("double").alias("weight"))
         sources = sources.join(w, "mix_source", "left").fillna(0.0, ["weight"])
