@@ -311,6 +311,23 @@ def test_mixing(spark):
     assert mixing.mix(documents(spark, [])).count() == 0 and mixing.mix(documents(spark, [None, ""])).where("taken > 0").count() == 0
 
 
+def test_mixing_of_many_sources_and_clashing_columns(spark):
+    rows = [(i, "w " * (i % 7 + 1), None if i % 101 == 0 else f"s{i % 100:02d}") for i in range(1, 1000)]
+    names = ["mix_uid", "mix_hash", "mix_bin", "mix_source", "weight", "whole", "more", "range", "place", "upto", "edge"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.lit(f"own {c}").alias(c) for c in names), F.lit("old").alias("size"))
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source", *names, "size", "source_size", "target", "repeats", "taken"]
+    got = out.collect()
+    assert all(r[c] == f"own {c}" for r in got for c in names)
+    bare = {(r["doc_id"], r["target"], r["taken"]) for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    assert {(r["doc_id"], r["target"], r["taken"]) for r in got} == bare
+    # the weights 1, 2, 3 go by the order of names, null last, over all ranges
+    target, size = {r["source"]: r["target"] for r in got}, {r["source"]: r["source_size"] for r in got}
+    order = sorted(target, key=lambda x: (x is None, x))
+    per_weight = {round(target[x] / (i % 3 + 1), 6) for i, x in enumerate(order) if target[x] < 3 * size[x]}
+    assert len(order) == 101 and len(per_weight) == 1
+
+
 # -- op7, op8 -----------------------------------------------------------------------------------------------
 
 

@@ -168,6 +168,63 @@ def test_rendering_time_does_not_explode():
     assert time.time() - began < 30
 
 
+def test_rendering_time_is_linear_in_open_elements():
+    def seconds(n):
+        began = time.process_time()
+        assert html.render("<b>" * n + "<td>x" * n + "</i>" * n).count("x") == n
+        return time.process_time() - began
+
+    assert seconds(16000) < 8 * max(seconds(4000), 0.05)
+
+
+def stack_events(page):
+    """The tree builder's rules, by looking through the open elements one by one."""
+    stack, out = [], []
+
+    def close(n):
+        for _ in range(n):
+            out.append(("close", stack.pop(), ""))
+
+    def reach(tags, stops):
+        found = 0
+        for i, t in enumerate(reversed(stack), 1):
+            if t in tags:
+                found = i
+            elif t in stops:
+                break
+        return found
+
+    for kind, tag, more in html._tokens(page):
+        if kind == "text":
+            out.append((kind, tag, more))
+        elif kind == "open":
+            close(max(reach({"p"}, html.SCOPE) if tag in html.CLOSES_P else 0, reach(*html.IMPLIED.get(tag, ((), ())))))
+            for parents, implied in ((("table",), "tbody"), (("tbody", "thead", "tfoot"), "tr")):
+                around = [t for t in stack if t in "table tbody thead tfoot tr td th caption".split()]
+                if around and around[-1] in parents and tag in (("tr", "td", "th") if implied == "tbody" else ("td", "th")):
+                    stack.append(implied)
+                    out.append(("open", implied, ""))
+            out.append((kind, tag, more))
+            stack.append(tag)
+            close(tag in html.VOID)
+        elif tag == "br":
+            out.extend([("open", "br", ""), ("close", "br", "")])
+        elif tag not in html.VOID and tag in stack:
+            n = stack[::-1].index(tag) + 1
+            inner = stack[len(stack) - n + 1 :]
+            across = tag in "table tr tbody thead tfoot td th body html".split()
+            close(n if across or not {"td", "th", "table"} & set(inner) else 0)
+    close(len(stack))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("<p> </p> <table> <tbody> <thead> <tr> <td> <th> <caption> </caption> </table> </tr> </td> </tbody> <ul> <li> </ul> </li> <b> </b> <div> </div> <dl> <dt> <dd> <br> </br> <select> <option> w".split()), max_size=40))
+def test_tree_is_that_of_the_rules(parts):
+    page = "".join(parts)
+    assert list(html.events(page)) == stack_events(page)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -222,6 +279,31 @@ def test_pii_time_is_linear():
     assert time.time() - began < 20
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.cc", "a (at) b (dot) cc", " ", "x", "bob at ex dot org", "10.0.0.1", "10 dot 0 dot 0 dot 1", "+1 415 555 0199", "one two three four five", "\u0430@b.cc", "٣", "+1", "555"]), max_size=12))
+def test_disguised_finds_overlap_none_of_their_kind(parts):
+    text = " ".join(parts)
+    base = pii.find(text)
+    got = pii.disguised(text, base)
+    tape = pii.addresses(pii.spelled_numbers(pii.characters(pii.Tape(text))))
+    want = []
+    for k, i, j in pii.find(tape.text):
+        s, e = tape.starts[i], tape.ends[j - 1]
+        if any(tape.changed[i:j]) and not any(x == k and a < e and s < b for x, a, b in [*base, *want]):
+            want.append((k, s, e))
+    assert got == want
+
+
+def test_time_of_disguises_is_linear():
+    def seconds(n):
+        text = "jo (at) ex (dot) org, " * n
+        began = time.process_time()
+        assert len(pii.disguised(text, [])) == n
+        return time.process_time() - began
+
+    assert seconds(8000) < 8 * max(seconds(2000), 0.05)
+
+
 def test_logistic():
     x = np.array([[0.0], [1.0], [2.0], [3.0]])
     m = Logistic.fit(x, np.array([0, 0, 1, 1]))
