@@ -1,7 +1,8 @@
 """Memory units from ordered messages: reply turns, own messages, topic blocks.
 
-All three read the same partitioning and order (chat; time, seq): one exchange
-and one sort serve them.
+All three read the same partitioning and order (chat; time, seq). Each kind
+still plans its own exchange; equal ones are shared only where the planner
+finds them equal.
 """
 
 from __future__ import annotations
