@@ -17,8 +17,8 @@ band are joined on (band, position, word): no similar pair is missed.
   with the least one. Copies of one text, however many, are linked by that
   alone; only where a group still holds several components, its nodes of
   different components are compared with each other. Groups of the same nodes
-  count once. Very large groups are first split by a second common word:
-  sketches have two words more than d at least, so similar pairs agree in two.
+  count once. Very large groups are dealt into blocks, and each two blocks are
+  compared in a task of their own.
 * A pair is compared first by parity bits, one for each shingle: the number of
   bits that differ is no greater than the symmetric difference. Only pairs
   within d of each other have their whole sets fetched and verified:
@@ -96,8 +96,8 @@ class Sets:
         self.node = np.where(self.n > 0, tokens.mix(total + self.n.astype(_U) * _U(0x9E3779B97F4A7C15)) | _U(1), _U(0)).view(np.int64)
 
 
-def sketch_keys(s, chosen: np.ndarray, percent: int, only: int | None = None, level: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of the chosen texts' sketches, and the text of each. ``only``: of one band. ``level``: how many words a pair must share.
+def sketch_keys(s, chosen: np.ndarray, percent: int, level: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of the chosen texts' sketches, and the text of each. ``level``: how many words a pair must share.
 
     The last 7 bits of a key are its band.
     """
@@ -105,7 +105,7 @@ def sketch_keys(s, chosen: np.ndarray, percent: int, only: int | None = None, le
     n = s.n[chosen]
     edges = bands(percent, int(n.max(initial=1)) * 2)
     own = np.searchsorted(edges, n, "right") - 1
-    for band in range(len(edges) - 1) if only is None else [only]:
+    for band in range(len(edges) - 1):
         low, high = int(edges[band]), int(edges[band + 1])
         here = chosen[(own == band) | ((own == band - 1) & (100 * n >= percent * low))]
         if not len(here):
@@ -165,7 +165,7 @@ def shingle_sets(docs: DataFrame, text_col: str, shingle: int, keep: list[str],
 
 
 def _groups(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """``same, key, node, least``: nodes that share a sketch word with others, with the least node of theirs. Groups of the same nodes have the same ``same``; one of them is given, and by each part that has one."""
+    """``same, node, least, many``: nodes that share a sketch word with others, with the least node of theirs and their number. Groups of the same nodes have the same ``same``; one of them is given, and by each part that has one."""
     parts = parallelism(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +202,12 @@ def _groups(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataF
             chosen = np.zeros(len(first), bool)
             chosen[once] = True
             many = end - first
-            keys, nodes, least, same = (x[(n > 1) & np.repeat(chosen, many)] for x in (keys, nodes, least, np.repeat(same.view(np.int64), many)))
-            for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (same, keys, nodes, least)], names=["same", "key", "node", "least"])
+            same, nodes, least, n = (x[(n > 1) & np.repeat(chosen, many)] for x in (np.repeat(same.view(np.int64), many), nodes, least, n))
+            for i in range(0, len(nodes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (same, nodes, least, n)], names=["same", "node", "least", "many"])
 
     sent = mapped(docs.select(text_col), sketch, "part int, keys binary, nodes binary")
-    return mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), meet, "same long, key long, node long, least long")
+    return mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), meet, "same long, node long, least long, many long")
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -274,34 +274,6 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str,
     return out.where("node = wanted").drop("wanted").dropDuplicates(["node"])
 
 
-#: Nodes of a group that one task compares with each other; larger groups are split by a second word.
-CROWD = 4096
-
-
-def _second_words(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``key, node`` of crowded groups as groups of nodes that share a second word as well."""
-
-    class Given:
-        pass
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy().view(_U)
-            nodes = batch.column("node").to_numpy()
-            column = batch.column("items")
-            for i in range(batch.num_rows):
-                s = Given()
-                s.items = np.frombuffer(column[i].as_buffer(), _U)
-                s.n, s.at = np.array([len(s.items)]), np.array([0, len(s.items)])
-                own, _ = sketch_keys(s, np.zeros(1, np.int64), percent, int(keys[i] & _U(127)), 2)
-                own = own[own != keys[i]]
-                # the lesser key first, so that both words lead to the same group
-                pair = tokens.mix(np.minimum(own, keys[i]) * _U(0x9E3779B97F4A7C15) + np.maximum(own, keys[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(np.full(len(pair), nodes[i]))], names=["key", "node"])
-
-    return mapped(crowd.join(sets, "node").select("key", "node", "items"), run, "key long, node long").distinct()
-
-
 def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that sizes and parity bits allow to be similar."""
 
@@ -319,62 +291,75 @@ def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y"), run, "a long, b long")
 
 
+#: Nodes of a block. A task compares two blocks of a group at most, so its work stays bounded however large the group is.
+CROWD = 1024
 #: Candidates that a node of a group names in the first round; in each round twice as many as before.
 NAMED = 4
 
 
-def _compared(groups: DataFrame, percent: int, most: int) -> DataFrame:
-    """``key, a, b``: for each node of a group the nearest ``most`` nodes of other components that sizes and parity bits allow. ``groups`` has ``key, node, label, n, parity, failed``."""
+def _compared(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """``key, p, q, node, named, apart, after``: for each open node the nearest ``most`` nodes of other components that sizes and parity bits allow, after those it has named.
+
+    ``rows`` has the nodes of blocks ``p`` and ``q`` of the groups: ``key, p, q, own, node, label, n, parity, apart, after``. A node names by
+    distance and id, and ``apart, after`` are those of the last one it has named: -1 before the first, and null if no other is left.
+    """
 
     def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        n, label, node = (t.column(c).to_numpy() for c in ("n", "label", "node"))
+        n, label, node, own = (t.column(c).to_numpy() for c in ("n", "label", "node", "own"))
         if len(n) < 2 or label.min() == label.max():
             return
-        order = np.argsort(n, kind="stable")
-        parity, failed = t.column("parity"), t.column("failed")
+        key, p, q = (t.column(c)[0].as_py() for c in ("key", "p", "q"))
+        order = np.lexsort((node, n))
+        last, after = (t.column(c).fill_null(-2).to_numpy()[order] for c in ("apart", "after"))
+        parity = t.column("parity")
         raw = [np.frombuffer(parity[int(i)].as_buffer(), _U) for i in order]
-        bits = np.array([folded(x, min(map(len, raw))) for x in raw])
-        n, label, node = n[order], label[order], node[order]
+        words = min(map(len, raw))
+        bits = np.array([folded(x, words) for x in raw]).T.copy()
+        n, label, node, own = n[order], label[order], node[order], own[order]
         upto = np.searchsorted(n, n * 100 // percent, "right")
-        a, b = [], []
-        for i in range(len(n) - 1):
-            j = np.flatnonzero(label[i + 1 : upto[i]] != label[i]) + i + 1
+        found = []
+        for i in np.flatnonzero(last > -2):
+            others = label[i + 1 : upto[i]] != label[i]
+            if p != q:
+                others &= own[i + 1 : upto[i]] != own[i]
+            j = np.flatnonzero(others) + i + 1
             if not len(j):
                 continue
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near = apart <= (100 - percent) * (n[j] + n[i]) // (100 + percent)
+            apart = np.bitwise_count(bits[:, j] ^ bits[:, i, None]).sum(axis=0, dtype=np.int64)
+            near = (apart <= (100 - percent) * (n[j] + n[i]) // (100 + percent)) & ((apart > last[i]) | ((apart == last[i]) & (node[j] > after[i])))
             if not near.any():
                 continue
             j, apart = j[near], apart[near]
-            if known := failed[int(order[i])].as_py():
-                new = ~np.isin(node[j], known)
-                j, apart = j[new], apart[new]
-            best = node[j[np.argsort(apart, kind="stable")[:most]]]
-            a.append(np.minimum(best, node[i]))
-            b.append(np.maximum(best, node[i]))
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t.column("key")[0].as_py())), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+            nearest = np.lexsort((node[j], apart))
+            best = nearest[:most]
+            end = best[-1] if len(nearest) > len(best) else None
+            found.append((key, p, q, node[i], node[j[best]], None if end is None else apart[end], None if end is None else node[j[end]]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*found, strict=True), _COMPARED.types, strict=True)], schema=_COMPARED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         at = None
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+            given = [batch.column(c).to_numpy() for c in ("key", "p", "q")]
+            new = np.any([x[1:] != x[:-1] for x in given], axis=0)
+            cut = [0, *(np.flatnonzero(new) + 1), batch.num_rows]
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if i < j:
-                    if key[i] != at and held:
+                    if (now := tuple(x[i] for x in given)) != at and held:
                         yield from compare(held)
                         held = []
-                    at = key[i]
+                    at = now
                     held.append(batch.slice(i, j - i))
         if held:
             yield from compare(held)
 
-    n = parallelism(groups.sparkSession)
-    return mapped(groups.select("key", "node", "label", "n", "parity", "failed").repartition(n, "key").sortWithinPartitions("key"), run, "key long, a long, b long")
+    n = parallelism(rows.sparkSession)
+    return mapped(rows.select("key", "p", "q", "own", "node", "label", "n", "parity", "apart", "after").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q"), run, "key long, p int, q int, node long, named array<long>, apart int, after long")
+
+
+_COMPARED = pa.schema([("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("node", pa.int64()), ("named", pa.list_(pa.int64())), ("apart", pa.int32()), ("after", pa.int64())])
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -389,7 +374,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(shingle_sets(docs, text_col, shingle, [id_col], parity=True), "jaccard-sets")
     classes = kept(members.where("n_shingles > 0").groupBy("node").agg(F.min(id_col).alias("first"), F.min("n_shingles").alias("n"), F.first("parity").alias("parity")), "nodes")
     found = _groups(docs, text_col, shingle, percent)
-    groups = kept(found.groupBy("same", "node", "least").agg(F.min("key").alias("key")), "groups")
+    groups = kept(found.distinct(), "groups")
     release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -403,25 +388,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = kept(_plausible(star, classes, percent), "tried")
     links = verified(tried)
     labels = kept(_relabelled(classes.select("node", F.col("node").alias("label")), links), "labels")
-    failed = kept(tried.join(links, ["a", "b"], "left_anti"), "failed")
-    sides = _sides(docs, groups, labels, classes, percent, id_col, text_col, shingle)
+    sides = kept(_sides(groups, labels), "sides")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    blocks = sides.select("key", "node", "own", other).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node")
+    rows = blocks.withColumns({"apart": F.lit(-1), "after": F.lit(0).cast("long")})
     most = NAMED
     while True:
         # Boruvka's way: each node names its nearest candidates in other components, until no untried one is left
-        known = failed.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).groupBy(F.col("e.u").alias("node")).agg(F.collect_set("e.v").alias("failed"))
-        mixed = sides.join(labels, "node").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        sides = kept(sides.join(mixed, "key"), "sides")
-        about = sides.join(labels, "node").join(classes.select("node", "n", "parity"), "node").join(known, "node", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<bigint>")))
-        asked = kept(_compared(about, percent, most), "named")
-        if asked.isEmpty():
+        asked = kept(_compared(rows.join(labels, "node").join(classes.select("node", "n", "parity"), "node"), percent, most), "asked")
+        pairs = asked.select("node", F.explode("named").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        named = kept(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "named")
+        if not named.isEmpty():
+            tried = tried.unionByName(named)
+            labels = kept(_relabelled(labels, verified(named)), "labels")
+        # a node that has named all its candidates has none later: components only grow
+        opened = asked.where("apart is not null").select("key", "p", "q", "node", "apart", "after")
+        if opened.isEmpty():
             break
-        # a group that names nobody now never will: components only grow
-        sides = sides.join(asked.select("key").distinct(), "key", "left_semi")
-        named = kept(asked.select("a", "b").distinct(), "named")
-        links = verified(named)
+        rows = blocks.join(opened.select("key", "p", "q").distinct(), ["key", "p", "q"], "left_semi").join(opened, ["key", "p", "q", "node"], "left")
         most *= 2
-        labels = kept(_relabelled(labels, links), "labels")
-        failed = kept(failed.unionByName(named.join(links, ["a", "b"], "left_anti")), "failed")
     labels = stored(labels, "jaccard-labels")
     for x in passing:
         discard(x)
@@ -438,16 +423,13 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
-def _sides(docs: DataFrame, groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``key, node`` of the groups with several components and more than a pair; of crowds, of their nodes with a second word."""
-    mixed = groups.join(labels, "node").groupBy("same").agg(F.count("*").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and many > 2").select("same", "many")
-    mixed = stored(groups.join(mixed, "same").select("same", "key", "node", "many"), "jaccard-mixed")
-    few = mixed.where(F.col("many") <= CROWD).select(F.col("same").alias("key"), "node")
-    crowd = mixed.where(F.col("many") > CROWD).select("key", "node")
-    if crowd.isEmpty():
-        return few
-    sets = _sets_of(docs, crowd.select("node").distinct(), classes, id_col, text_col, shingle)
-    return few.unionByName(_second_words(crowd, sets, percent))
+def _sides(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, own, blocks`` of the groups with several components and more than a pair: their number of blocks, and the node's own."""
+    sides = groups.where("many > 2").select(F.col("same").alias("key"), "node", F.ceil(F.col("many") / CROWD).cast("int").alias("blocks"))
+    sides = sides.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    mixed = sides.join(labels, "node").groupBy("key", "blocks").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    # by block as well, so that no task gets a large group as a whole
+    return sides.join(mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")), ["key", "own"])
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -235,6 +235,36 @@ def test_jaccard(spark, monkeypatch, crowd):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+def near_copies(rng, n):
+    base = rng.choice([f"w{i}" for i in range(3000)], 150)
+    return [edited(rng, base, k % 12) for k in range(n)]
+
+
+def rows_compared(spark, monkeypatch, texts, crowd):
+    """Rows dealt to the comparison in its first round, and the components."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    dealt, compared = [], jaccard._compared
+
+    def spy(rows, *args):
+        dealt.append(rows.count())
+        return compared(rows, *args)
+
+    monkeypatch.setattr(jaccard, "_compared", spy)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(documents(spark, texts)).collect()}
+    monkeypatch.setattr(jaccard, "_compared", compared)
+    return dealt[0], got
+
+
+def test_jaccard_crowd_is_no_more_work_than_its_blocks(spark, monkeypatch):
+    texts = near_copies(np.random.default_rng(5), 60)
+    whole, got = rows_compared(spark, monkeypatch, texts, 4096)
+    blocks, same = rows_compared(spark, monkeypatch, texts, 20)
+    ids = list(range(len(texts)))
+    assert got == same == brute_components(ids, {i: shingles(t) for i, t in enumerate(texts)}, similar)
+    # a node meets each of at most three blocks once; split by second words it was in a group for each two words
+    assert 0 < blocks <= 3 * whole
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(documents(spark, [])).count() == 0
     r = jaccard.jaccard_classes(documents(spark, ["a b c d", "a b c d", None, "a b c d"], [None, 7, None, 7])).collect()
