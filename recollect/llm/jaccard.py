@@ -293,6 +293,8 @@ def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
 
 #: Nodes of a block. A task compares two blocks of a group at most, so its work stays bounded however large the group is.
 CROWD = 1024
+#: Groups of a node by which a pair that several groups hold is told to be another one's: the first of them.
+FIRST_GROUPS = 64
 #: Candidates that a node of a group names in the first round; in each round twice as many as before.
 NAMED = 4
 
@@ -300,8 +302,8 @@ NAMED = 4
 def _compared(rows: DataFrame, percent: int, most: int) -> DataFrame:
     """``key, p, q, node, named, apart, after``: for each open node the nearest ``most`` nodes of other components that sizes and parity bits allow, after those it has named.
 
-    ``rows`` has the nodes of blocks ``p`` and ``q`` of the groups: ``key, p, q, own, node, label, n, parity, apart, after``. A node names by
-    distance and id, and ``apart, after`` are those of the last one it has named: -1 before the first, and null if no other is left.
+    ``rows`` has the nodes of blocks ``p`` and ``q`` of the groups: ``key, p, q, own, node, label, n, parity, first_keys, apart, after``. A pair
+    is named only in the first of its groups, as far as ``first_keys`` tell it. A node names by distance and id, and ``apart, after`` are those of the last one it has named: -1 before the first, and null if no other is left.
     """
 
     def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,6 +319,13 @@ def _compared(rows: DataFrame, percent: int, most: int) -> DataFrame:
         words = min(map(len, raw))
         bits = np.array([folded(x, words) for x in raw]).T.copy()
         n, label, node, own = n[order], label[order], node[order], own[order]
+        before: dict[int, set] = {}
+
+        def earlier(i: int) -> set:
+            if i not in before:
+                before[i] = {k for k in t.column("first_keys")[int(order[i])].as_py() if k < key}
+            return before[i]
+
         upto = np.searchsorted(n, n * 100 // percent, "right")
         found = []
         for i in np.flatnonzero(last > -2):
@@ -331,10 +340,15 @@ def _compared(rows: DataFrame, percent: int, most: int) -> DataFrame:
             if not near.any():
                 continue
             j, apart = j[near], apart[near]
-            nearest = np.lexsort((node[j], apart))
-            best = nearest[:most]
-            end = best[-1] if len(nearest) > len(best) else None
-            found.append((key, p, q, node[i], node[j[best]], None if end is None else apart[end], None if end is None else node[j[end]]))
+            best, more = [], False
+            for x in np.lexsort((node[j], apart)):
+                if earlier(i).isdisjoint(earlier(j[x])):
+                    if more := len(best) == most:
+                        break
+                    best.append(x)
+            if best:
+                end = best[-1]
+                found.append((key, p, q, node[i], node[j[best]], apart[end] if more else None, node[j[end]] if more else None))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*found, strict=True), _COMPARED.types, strict=True)], schema=_COMPARED)
 
@@ -356,7 +370,7 @@ def _compared(rows: DataFrame, percent: int, most: int) -> DataFrame:
             yield from compare(held)
 
     n = parallelism(rows.sparkSession)
-    return mapped(rows.select("key", "p", "q", "own", "node", "label", "n", "parity", "apart", "after").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q"), run, "key long, p int, q int, node long, named array<long>, apart int, after long")
+    return mapped(rows.select("key", "p", "q", "own", "node", "label", "n", "parity", "first_keys", "apart", "after").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q"), run, "key long, p int, q int, node long, named array<long>, apart int, after long")
 
 
 _COMPARED = pa.schema([("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("node", pa.int64()), ("named", pa.list_(pa.int64())), ("apart", pa.int32()), ("after", pa.int64())])
@@ -391,11 +405,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sides = kept(_sides(groups, labels), "sides")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     blocks = sides.select("key", "node", "own", other).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node")
+    first_keys = F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_GROUPS).alias("first_keys")
+    about = kept(classes.select("node", "n", "parity").join(sides.groupBy("node").agg(first_keys), "node"), "about")
     rows = blocks.withColumns({"apart": F.lit(-1), "after": F.lit(0).cast("long")})
     most = NAMED
     while True:
         # Boruvka's way: each node names its nearest candidates in other components, until no untried one is left
-        asked = kept(_compared(rows.join(labels, "node").join(classes.select("node", "n", "parity"), "node"), percent, most), "asked")
+        asked = kept(_compared(rows.join(labels, "node").join(about, "node"), percent, most), "asked")
         pairs = asked.select("node", F.explode("named").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         named = kept(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "named")
         if not named.isEmpty():

@@ -265,6 +265,26 @@ def test_jaccard_crowd_is_no_more_work_than_its_blocks(spark, monkeypatch):
     assert 0 < blocks <= 3 * whole
 
 
+@pytest.mark.parametrize("first_groups", [64, 1])
+def test_jaccard_names_a_pair_in_one_of_its_groups(spark, monkeypatch, first_groups):
+    monkeypatch.setattr(jaccard, "FIRST_GROUPS", first_groups, raising=False)
+    named, compared = [], jaccard._compared
+
+    def spy(*args):
+        out = compared(*args)
+        named.extend(tuple(sorted(r)) for r in out.select("node", F.explode("named")).collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "_compared", spy)
+    texts = near_copies(np.random.default_rng(5), 60)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(documents(spark, texts), shingle=corpus_pipeline.SHINGLE, percent=corpus_pipeline.PERCENT).collect()}
+    ids = list(range(len(texts)))
+    assert got == brute_components(ids, {i: shingles(t, 5) for i, t in enumerate(texts)}, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    assert named
+    if first_groups > 1:
+        assert len(named) == len(set(named))
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(documents(spark, [])).count() == 0
     r = jaccard.jaccard_classes(documents(spark, ["a b c d", "a b c d", None, "a b c d"], [None, 7, None, 7])).collect()
