@@ -24,7 +24,14 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Deterministic, offline: signed hashes of words and of letter triples, of unit length."""
+    """Deterministic, offline: signed hashes of words and of letter triples, of unit length.
+
+    A word's sum of hashes is made once and kept by the worker, so that a text costs
+    a look-up and a row of a table for each word. All sums are of whole numbers, hence exact in any order.
+    """
+
+    #: Words that are looked up and letters that are hashed at a time; words and letters after which a worker keeps no more, but begins anew.
+    portion, letters, kept_words, kept_letters = 1 << 15, 1 << 20, 1 << 17, 1 << 23
 
     def __init__(self, width: int = 64):
         self.width, self.name = width, f"hashing-{width}"
@@ -32,14 +39,71 @@ class HashingEncoder:
     def open(self):
         import xxhash
 
+        known: dict[str, int] = {}
+        table, kept = np.zeros((0, self.width), np.int32), 0
+
+        def signed(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            h = np.array(hashes, np.uint64)
+            return (h % np.uint64(self.width)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+
+        def sums(words: list[str]) -> np.ndarray:
+            """A row for each word. In the words with single spaces around, each letter with its neighbours is a triple."""
+            slot, sign = signed([xxhash.xxh64_intdigest(w) for w in words])
+            out = np.zeros((len(words), self.width), np.int32)
+            out[np.arange(len(words)), slot] += sign.astype(np.int32)
+            spaced, first = f" {' '.join(words)} ", 0
+            for k in range(0, len(spaced) - 2, self.letters):
+                c = np.frombuffer(spaced[k : k + self.letters + 2].encode("utf-32-le"), "<u4").astype(np.int64)
+                letter = c[1:-1] != 32
+                word = first + np.cumsum(~letter)
+                distinct, at = np.unique((c[:-2] << 42 | c[1:-1] << 21 | c[2:])[letter], return_inverse=True)
+                drawn = np.stack([distinct >> 42, distinct >> 21 & 0x1FFFFF, distinct & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+                slot, sign = signed([xxhash.xxh64_intdigest(drawn[i : i + 3]) for i in range(0, len(drawn), 3)])
+                of = word[letter] - first
+                n = int(word[-1]) - first + 1
+                out[first : first + n] += np.bincount(of * self.width + slot[at], sign[at], n * self.width).reshape(n, self.width).astype(np.int32)
+                first += n - 1
+            return out
+
+        def rows(words: list[str]) -> np.ndarray:
+            """Places in the table, to which words that are new are added."""
+            nonlocal table, kept
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            if new and (len(known) + len(new) > self.kept_words or kept > self.kept_letters):
+                known.clear()
+                kept, new = 0, list(dict.fromkeys(words))
+            if new:
+                n = len(known)
+                if n + len(new) > len(table):
+                    room = max(n + len(new), min(2 * n, self.kept_words))
+                    table = np.concatenate([table[:n], np.zeros((room - n, self.width), np.int32)])
+                table[n : n + len(new)] = sums(new)
+                known.update(zip(new, range(n, n + len(new)), strict=True))
+                kept += sum(map(len, new))
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), self.width), np.float32)
-            for row, t in zip(out, texts, strict=True):
-                for word in (t or "").lower().split():
-                    padded = f" {word} "
-                    for piece in (word, *(padded[i : i + 3] for i in range(len(padded) - 2))):
-                        h = xxhash.xxh64_intdigest(piece)
-                        row[h % self.width] += 1.0 if h >> 63 else -1.0
+            out = np.zeros((len(texts), self.width), np.int64)
+            words: list[str] = []
+            spans: list[tuple[int, int, int]] = []  # text, first word and end in the portion
+
+            def add() -> None:
+                at = rows(words)
+                for i, a, b in spans:
+                    out[i] += table[at[a:b]].sum(axis=0)
+                words.clear()
+                spans.clear()
+
+            for i, t in enumerate(texts):
+                of = (t or "").lower().split()
+                for k in range(0, len(of), self.portion):
+                    piece = of[k : k + self.portion]
+                    if len(words) + len(piece) > self.portion:
+                        add()
+                    spans.append((i, len(words), len(words) + len(piece)))
+                    words += piece
+            add()
+            out = out.astype(np.float32)
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norm > 0, norm, 1)
 
