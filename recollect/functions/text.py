@@ -1,4 +1,4 @@
-"""Text functions as column expressions; only Unicode normal forms need Python, in Arrow batches."""
+"""Text functions as column expressions; Python gets only texts whose letters are too new for Java, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -12,18 +12,28 @@ from pyspark.sql.types import StringType
 from recollect import config
 
 
+def _form(t: Column, step: str, python=None) -> Column:
+    """A compatibility form by Spark's own ICU, in the JVM. With ``python``, texts with letters that Java has no tables of go there instead.
+
+    Spark takes the call as nondeterministic, so no filter on the result is pushed below it, where it would be evaluated a second time.
+    """
+    icu = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(step), t, F.lit(True))
+    if python is None:
+        return F.when(t.isNotNull(), icu)
+    newer = t.rlike(r"\p{Cn}")
+    return F.when(newer, python(F.when(newer, t))).when(t.isNotNull(), icu)
+
+
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-# marked so that no filter on its result is pushed below it, where it would be evaluated a second time
-nfkc = nfkc.asNondeterministic()
+_nfkc = _nfkc.asNondeterministic()  # as above
 
 
-@F.pandas_udf(StringType())
-def nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
+def nfkc(t: Column) -> Column:
+    return _form(t, "compose", _nfkc)
 
 
 def collapse(t: Column) -> Column:
@@ -38,7 +48,7 @@ def normalized(t: Column, unicode: bool = True) -> Column:
 
 def sender_name(t: Column, unicode: bool = True) -> Column:
     t = F.coalesce(t.cast("string"), F.lit(""))
-    return F.regexp_replace(nfkc(t) if unicode else t, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_form(t, "compose") if unicode else t, r"(?U)^\s+|\s+$", "")
 
 
 def folded(t: Column) -> Column:
@@ -97,7 +107,7 @@ def filled(template: str, *columns: Column) -> Column:
 def fuzzy_key(t: Column, unicode: bool = True) -> Column:
     """Text without case, accents and punctuation."""
     b = _bare(t)
-    b = F.regexp_replace(nfkd(b), r"\p{Mn}", "") if unicode else b
+    b = F.regexp_replace(_form(b, "decompose"), r"\p{Mn}", "") if unicode else b
     return F.regexp_replace(F.translate(b, config.FUZZY_PUNCTUATION, ""), r"(?U)\s+", " ")
 
 
